@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cube_mixing, jaccard_join, packing, quality_crf, weak_rules
+from . import cube_mixing, embedding_dedup, jaccard_join, packing, quality_crf, weak_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_weak_rules": weak_rules.query,
         "op6_jaccard_join": jaccard_join.query,
         "op7_cube_mixing": cube_mixing.query,
+        "op8_embedding_dedup": embedding_dedup.query,
         "op9_packing": packing.query,
     }
 
