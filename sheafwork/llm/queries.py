@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cube_mixing, embedding_dedup, jaccard_join, packing, quality_crf, weak_rules
+from . import cube_mixing, embedding_dedup, jaccard_join, line_dedup, packing, quality_crf, token_attribution, warc, weak_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_crf": quality_crf.query,
+        "op2_token_attribution": token_attribution.query,
         "op3_weak_rules": weak_rules.query,
+        "op4_warc_derivatives": warc.query,
+        "op5_line_dedup": line_dedup.query,
         "op6_jaccard_join": jaccard_join.query,
         "op7_cube_mixing": cube_mixing.query,
         "op8_embedding_dedup": embedding_dedup.query,
@@ -21,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc_derivatives": warc.sql()}
