@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cube_mixing, embedding_dedup, jaccard_join, line_dedup, packing, quality_crf, token_attribution, warc, weak_rules
+from . import cube_mixing, embedding_dedup, jaccard_join, line_dedup, packing, quality_crf, secret_scan, token_attribution, warc, weak_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_cube_mixing": cube_mixing.query,
         "op8_embedding_dedup": embedding_dedup.query,
         "op9_packing": packing.query,
+        "op10_secret_scan": secret_scan.query,
     }
 
 
