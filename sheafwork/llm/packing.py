@@ -13,8 +13,6 @@ as it needs; an empty table gives no pieces. Only the last sequence can be short
 
 from __future__ import annotations
 
-import os
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,64 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, bounded_batches, table
+from .tokens import encoder, vocabulary
 
 WINDOW = 2048
 END = 1
-#: Encoded words that a worker remembers before it starts over.
-REMEMBERED = 400_000
-#: Longer runs without white space are encoded without being remembered.
-LONGEST_REMEMBERED = 48
-
-#: str.split() cuts at these, the tokenizer does not.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
-
-
-def vocabulary(name: str = "word_bpe_49k.json") -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
-class WordEncoder:
-    """Token ids of a text under a tokenizer that drops white space and never joins tokens across it.
-
-    For such a tokenizer a text's ids are the ids of its white-space-separated runs
-    one after another, so each distinct run is encoded once and remembered.
-    """
-
-    def __init__(self, tokenizer_json: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self._tokenizer = Tokenizer.from_str(tokenizer_json)
-        self._known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        out = []
-        end = END.to_bytes(4, "little")
-        for text in texts:
-            if _ODD_SPACE.search(text):
-                out.append(self._encode([text])[0] + end)
-                continue
-            runs = text.split()
-            missing = [x for x in set(runs) if x not in self._known]
-            long = {}
-            if missing:
-                if len(self._known) + len(missing) > REMEMBERED:
-                    self._known.clear()
-                    missing = list(set(runs))
-                for x, ids in zip(missing, self._encode(missing), strict=True):
-                    (self._known if len(x) <= LONGEST_REMEMBERED else long)[x] = ids
-            known = self._known if not long else {**{x: self._known[x] for x in set(runs) if x in self._known}, **long}
-            out.append(b"".join(map(known.__getitem__, runs)) + end)
-        return out
-
 
 def encoded(spark: SparkSession, docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """(doc_id, part, begin, n, ids): ids with the end token, begin counted inside the partition."""
@@ -88,11 +32,12 @@ def encoded(spark: SparkSession, docs: DataFrame, tokenizer_path: str) -> DataFr
         shared = spark.sparkContext.broadcast(f.read())  # a vocabulary: a few MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, begin = WordEncoder(shared.value), TaskContext.get().partitionId(), 0
+        encode, part, begin = encoder(shared.value), TaskContext.get().partitionId(), 0
+        end = END.to_bytes(4, "little")
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 piece = batch.slice(i, 256)
-                ids = encode([x or "" for x in piece.column(1).to_pylist()])
+                ids = [x.astype("<u4", copy=False).tobytes() + end for x in encode.ids(piece.column(1))]
                 sizes = [len(x) // 4 for x in ids]
                 starts = []
                 for n in sizes:
