@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,20 +31,27 @@ def normalized(rows: Column, n: Column) -> Column:
     return F.transform(rows, lambda r: pad(r, n))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, though an expression uses it often."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def trim(rows: Column) -> Column:
     """Cells stripped, nulls empty, without empty rows at either end and without empty columns, all rows of one width."""
-    cells = F.transform(rows, lambda r: F.transform(r, lambda c: strip(F.coalesce(c, F.lit("")))))
-    full = F.transform(cells, _any)
-    first = F.array_position(full, F.lit(True))
-    last = F.size(cells) - F.array_position(F.reverse(full), F.lit(True)) + 1
-    kept = F.when(first > 0, F.slice(cells, first.cast("int"), (last - first + 1).cast("int"))).otherwise(F.expr(_EMPTY))
-    return _columns(kept)
 
+    def ends(cells: Column) -> Column:
+        full = F.transform(cells, _any)
+        first = F.array_position(full, F.lit(True))
+        last = F.size(cells) - F.array_position(F.reverse(full), F.lit(True)) + 1
+        return F.when(first > 0, F.slice(cells, first.cast("int"), (last - first + 1).cast("int"))).otherwise(F.expr(_EMPTY))
+
+    def used(kept: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(width(kept) - 1, F.lit(0)))
+        filled = F.filter(places, lambda i: F.exists(kept, lambda r: F.coalesce(F.get(r, i), F.lit("")) != ""))
+        return F.struct(kept.alias("kept"), filled.alias("used"))
 
-def _columns(kept: Column) -> Column:
-    places = F.sequence(F.lit(0), F.greatest(width(kept) - 1, F.lit(0)))
-    used = F.filter(places, lambda i: F.exists(kept, lambda r: F.coalesce(F.get(r, i), F.lit("")) != ""))
-    return F.transform(kept, lambda r: F.transform(used, lambda i: F.coalesce(F.get(r, i), F.lit(""))))
+    cells = F.transform(rows, lambda r: F.transform(r, lambda c: strip(F.coalesce(c, F.lit("")))))
+    return _let(_let(_let(cells, ends), used), lambda x: F.transform(x["kept"], lambda r: F.transform(x["used"], lambda i: F.coalesce(F.get(r, i), F.lit("")))))
 
 
 def has_header(rows: Column, hint: Column | None = None) -> Column:
@@ -70,14 +79,18 @@ def _line(cells: Column) -> Column:
 
 def pipe_table(header: Column, rows: Column, caption: Column | None = None) -> Column:
     """A pipe table; without a header its header row is blank."""
-    n = width(rows, header)
-    body = normalized(rows, n)
-    top = F.when(F.coalesce(F.size(header), F.lit(0)) > 0, pad(header, n)).otherwise(F.array_repeat(F.lit(""), n))
-    made = [F.array(_line(F.transform(top, escape_cell)), _line(alignments(body, n))), F.transform(body, lambda r: _line(F.transform(r, escape_cell)))]
-    text = F.when(n > 0, F.array_join(F.concat(*made), "\n")).otherwise("")
+
+    def drawn(x: Column) -> Column:
+        n, body = x["n"], x["body"]
+        top = F.when(F.coalesce(F.size(header), F.lit(0)) > 0, pad(header, n)).otherwise(F.array_repeat(F.lit(""), n))
+        made = [F.array(_line(F.transform(top, escape_cell)), _line(alignments(body, n))), F.transform(body, lambda r: _line(F.transform(r, escape_cell)))]
+        return F.when(n > 0, F.array_join(F.concat(*made), "\n")).otherwise("")
+
+    shaped = _let(width(rows, header), lambda n: F.struct(n.alias("n"), normalized(rows, n).alias("body")))
+    text = _let(shaped, drawn)
     if caption is None:
         return text
-    return F.when((caption != "") & (n > 0), F.concat(F.lit("**"), caption, F.lit("**\n\n"), text)).otherwise(text)
+    return F.when((caption != "") & (text != ""), F.concat(F.lit("**"), caption, F.lit("**\n\n"), text)).otherwise(text)
 
 
 def _html(c: Column) -> Column:
@@ -106,7 +119,12 @@ def number_display(value: Column, number_format: Column) -> Column:
     """A spreadsheet number as its cell shows it: percent, currency, whole, or the shortest decimal."""
     decimals = F.length(F.regexp_extract(number_format, "\\.(0+)", 1))
     symbol = F.regexp_extract(number_format, "([$€£¥₹])", 1)
-    fixed = lambda v, d: F.when(d == 0, F.format_string("%,.0f", v)).when(d == 1, F.format_string("%,.1f", v)).when(d == 2, F.format_string("%,.2f", v)).otherwise(F.format_string("%,.3f", v))
+
+    def fixed(v: Column, d: Column) -> Column:
+        """At most three decimals; halves go to the even digit."""
+        shown = [F.format_string(f"%,.{k}f", F.bround(v, k)) for k in range(4)]
+        return F.when(d == 0, shown[0]).when(d == 1, shown[1]).when(d == 2, shown[2]).otherwise(shown[3])
+
     size = F.abs(value)
     sign = F.when(value < 0, "-").otherwise("")
     plain = F.when(value == F.floor(value), value.cast("decimal(30,0)").cast("string")).otherwise(F.regexp_replace(value.cast("decimal(38,10)").cast("string"), "0+$", ""))

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import queries_text
+from . import queries_tables, queries_text
 
-QUERIES = {**queries_text.QUERIES}
+QUERIES = {**queries_text.QUERIES, **queries_tables.QUERIES}
