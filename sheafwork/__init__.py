@@ -1,3 +1,11 @@
 """sheafwork: document ingestion and analytics expressed as Spark DataFrames."""
 
+from .options import ConvertOptions, Limits
+from .plans.chunk import chunks as chunk_documents
+from .plans.convert import chunks, compare, convert, documents, one
+from .plans.sinks import write_jsonl, write_markdown, write_tables
+from .sources.model import SourceError
+from .sources.read import column, files
+
 __version__ = "0.1.0"
+__all__ = ["ConvertOptions", "Limits", "SourceError", "chunk_documents", "chunks", "column", "compare", "convert", "documents", "files", "one", "write_jsonl", "write_markdown", "write_tables"]

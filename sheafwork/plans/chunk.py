@@ -35,13 +35,14 @@ def heading_path(rows: DataFrame, key: str = "doc_id", order: str = "pos", level
 
 
 def units(documents: DataFrame, options: ConvertOptions | None = None) -> DataFrame:
-    """(doc_id, pos, text, path, page, is_heading, kind) of every block that renders to something."""
-    rows = documents.select("doc_id", "title", F.posexplode("blocks").alias("pos", "b"))
-    rows = rows.select("doc_id", "title", "pos", "b", F.col("b.page").alias("page"), F.when(F.col("b.type") == "heading", F.coalesce("b.level", F.lit(1))).alias("level"), F.col("b.text").alias("heading"))
+    """(doc_id, source, pos, text, path, page, is_heading, kind) of every block that renders to something."""
+    source = F.struct("filename", "sha256", "format").alias("source")
+    rows = documents.select("doc_id", source, "title", F.posexplode("blocks").alias("pos", "b"))
+    rows = rows.select("doc_id", "source", "title", "pos", "b", F.col("b.page").alias("page"), F.when(F.col("b.type") == "heading", F.coalesce("b.level", F.lit(1))).alias("level"), F.col("b.text").alias("heading"))
     rows = heading_path(carry_page(rows), text="heading", title="title")
     kind = F.when(F.col("b.type").isin("table", "code"), F.col("b.type")).otherwise("prose")
     md = render.block(F.col("b"), options)
-    out = rows.select("doc_id", "pos", md.alias("text"), "path", "page", (F.col("b.type") == "heading").alias("is_heading"), kind.alias("kind"), F.col("b.type").alias("type"))
+    out = rows.select("doc_id", "source", "pos", md.alias("text"), "path", "page", (F.col("b.type") == "heading").alias("is_heading"), kind.alias("kind"), F.col("b.type").alias("type"))
     return out.where((F.col("type") != "page_break") & (strip("text") != "")).drop("type")
 
 
@@ -106,24 +107,23 @@ def chunks(documents: DataFrame, options: ConvertOptions | None = None) -> DataF
     unit = units(documents, o)
     long = F.length("text") > target * 1.5
     pieces = F.when(long, F.transform(split_oversized(F.col("text"), F.col("kind"), target), lambda t: F.struct(t.alias("text"), F.lit(True).alias("alone")))).otherwise(F.array(F.struct(F.col("text").alias("text"), F.lit(False).alias("alone"))))
-    flat = unit.select("doc_id", "pos", F.posexplode(pieces).alias("piece", "p"), "path", "page", "is_heading", "kind")
-    rows = flat.select("doc_id", F.struct("pos", "piece", F.col("p.text").alias("text"), F.col("p.alone").alias("alone"), "path", "page", (F.col("is_heading") & ~F.col("p.alone")).alias("is_heading"), "kind").alias("u"))
-    per_doc = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list("u")).alias("us"))
+    flat = unit.select("doc_id", "source", "pos", F.posexplode(pieces).alias("piece", "p"), "path", "page", "is_heading", "kind")
+    rows = flat.select("doc_id", "source", F.struct("pos", "piece", F.col("p.text").alias("text"), F.col("p.alone").alias("alone"), "path", "page", (F.col("is_heading") & ~F.col("p.alone")).alias("is_heading"), "kind").alias("u"))
+    # One document's units are one row from here on: the packing is sequential inside a document.
+    per_doc = rows.groupBy("doc_id").agg(F.first("source").alias("source"), F.sort_array(F.collect_list("u")).alias("us"))
     numbers = pack_numbers(F.transform("us", lambda u: F.struct(F.length(u["text"]).alias("n"), u["is_heading"].alias("is_heading"), u["alone"].alias("alone"))), target)
-    placed = per_doc.select("doc_id", F.explode(F.arrays_zip(F.col("us"), numbers.alias("grp"))).alias("z")).select("doc_id", F.col("z.us").alias("u"), F.col("z.grp").alias("grp"))
-    joined = placed.groupBy("doc_id", "grp").agg(F.sort_array(F.collect_list("u")).alias("us"))
+    placed = per_doc.select("doc_id", "source", F.explode(F.arrays_zip(F.col("us"), numbers.alias("grp"))).alias("z")).select("doc_id", "source", F.col("z.us").alias("u"), F.col("z.grp").alias("grp"))
+    joined = placed.groupBy("doc_id", "grp").agg(F.first("source").alias("source"), F.sort_array(F.collect_list("u")).alias("us"))
     text = strip(F.array_join(F.transform("us", lambda u: u["text"]), "\n\n"))
     grouped = joined.select(
-        "doc_id", "grp", text.alias("body"), F.get("us", F.lit(0))["path"].alias("heading_path"), F.forall("us", lambda u: u["kind"] == "prose").alias("prose"),
+        "doc_id", "source", "grp", text.alias("body"), F.get("us", F.lit(0))["path"].alias("heading_path"), F.forall("us", lambda u: u["kind"] == "prose").alias("prose"),
         F.array_sort(F.array_distinct(F.filter(F.transform("us", lambda u: u["page"]), lambda p: p.isNotNull()))).alias("pages"),
     ).where("body <> ''")
     w = Window.partitionBy("doc_id").orderBy("grp")
     before, before_prose = F.lag("body").over(w), F.lag("prose").over(w)
     prefix = F.when(F.lit(overlap > 0) & F.col("prose") & F.coalesce(before_prose, F.lit(False)), tail(before, max(overlap, 1))).otherwise("")
     full = F.when(F.coalesce(prefix, F.lit("")) != "", F.concat(prefix, F.lit("\n\n"), F.col("body"))).otherwise(F.col("body"))
-    out = grouped.select("doc_id", (F.row_number().over(w) - 1).alias("index"), full.alias("text"), "heading_path", "pages")
-    source = documents.select("doc_id", F.struct("filename", "sha256", "format").alias("source"))
-    out = out.join(source, "doc_id")
+    out = grouped.select("doc_id", "source", (F.row_number().over(w) - 1).alias("index"), full.alias("text"), "heading_path", "pages")
     ident = F.concat(slugify_ascii(F.coalesce("source.filename", F.lit("doc")), 40), F.lit("-"), F.lpad(F.col("index").cast("string"), 4, "0"))
     return out.select("doc_id", ident.alias("id"), "index", "text", "heading_path", "pages", F.length("text").alias("char_count"), estimate_tokens(F.col("text")).alias("token_estimate"), "source")
 

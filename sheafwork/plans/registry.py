@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import queries_layout, queries_tables, queries_text
+from . import queries_convert, queries_layout, queries_tables, queries_text
 
-QUERIES = {**queries_text.QUERIES, **queries_tables.QUERIES, **queries_layout.QUERIES}
+QUERIES = {**queries_text.QUERIES, **queries_tables.QUERIES, **queries_layout.QUERIES, **queries_convert.QUERIES}
