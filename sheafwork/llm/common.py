@@ -71,6 +71,10 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def _state(e: DataFrame) -> tuple:
+    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(space: Workspace, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of an undirected graph; component is its smallest node.
 
@@ -85,7 +89,7 @@ def components(space: Workspace, edges: DataFrame, a: str = "a", b: str = "b") -
         .distinct()
     )
     e = space.store(e)
-    before = None
+    before = _state(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -99,7 +103,7 @@ def components(space: Workspace, edges: DataFrame, a: str = "a", b: str = "b") -
             .distinct()
         )
         new = space.store(step)
-        state = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        state = _state(new)
         space.drop(e)
         e = new
         if state == before:

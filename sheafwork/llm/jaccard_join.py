@@ -8,11 +8,13 @@ or more are linked, without loss; links are closed to components.
   documents are counted for that. The order decides cost only, never the result.
 * In a set of n, two linked documents share at least l shingles among the first
   n - ceil(0.75 n) + l of each. A document's l is the one with the least estimated
-  cost of scanning postings and verifying candidates; a pair uses the smaller l of
-  its two documents and must share that many shingles there.
+  cost of scanning postings and verifying candidates; the longer the prefixes of a
+  pair, the more shingles they must share there.
 * Equal sets are one node from the start. Postings of cold shingles give all pairs;
   those of a hot shingle first give each member with a few representatives, and,
   after components are known, the pairs of members of different components.
+* A pair goes on if its shared shingles and those behind its prefixes can make up the
+  needed overlap.
 * Each pair left is verified on the whole sets; pairs already joined by other links
   need none, since only components are returned.
 
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, bounded_batches, components, table
@@ -166,7 +168,7 @@ def choose_level(counts: np.ndarray, n: int) -> int:
 def _prefixes(bits: int, hot: np.ndarray, often: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, nodes, levels, prefixes = [], [], [], []
+            sizes, nodes, levels, prefixes, ends = [], [], [], [], []
             for s in _sets(batch.column(1)):
                 n = len(s)
                 sizes.append(n)
@@ -174,6 +176,7 @@ def _prefixes(bits: int, hot: np.ndarray, often: np.ndarray):
                     nodes.append(0)
                     levels.append(0)
                     prefixes.append(s.view(np.int64))
+                    ends.append((0, 0))
                     continue
                 nodes.append(int(mix(np.array([mix(s ^ _U(0x5851F42D4C957F2D)).sum() + _U(n)], np.uint64)).view(np.int64)[0]))
                 counts = np.ones(n, np.int64)
@@ -187,12 +190,17 @@ def _prefixes(bits: int, hot: np.ndarray, often: np.ndarray):
                         s, counts = s[order], counts[order]
                 level = choose_level(counts, n)
                 levels.append(level)
-                prefixes.append(s[: n - required(n) + level].view(np.int64))
+                p = n - required(n) + level
+                prefixes.append(s[:p].view(np.int64))
+                ends.append((int(counts[p - 1]), int((s[p - 1 : p] ^ _U(1 << 63)).view(np.int64)[0])))
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(levels, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                ["doc_id", "n", "node", "level", "prefix"],
+                [
+                    batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(levels, pa.int32()),
+                    pa.array([e[0] for e in ends], pa.int64()), pa.array([e[1] for e in ends], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                ],
+                ["doc_id", "n", "node", "level", "end_count", "end_hash", "prefix"],
             )
 
     return run
@@ -200,56 +208,47 @@ def _prefixes(bits: int, hot: np.ndarray, often: np.ndarray):
 
 # -- postings ----------------------------------------------------------------
 
-_SCAN = "kind int, a long, b long, info_a long, info_b long, token long, shared int"
+_SCAN = "kind int, a long, b long, token long, shared int"
 
 
 def _scan(limit: int):
-    """Postings sorted by token, in. Out: kind 0, pairs of cold postings with the shingles they share at
-    their level so far; kind 1, the hot postings as they are.
-
-    ``info`` is n * 65536 + level of the document * 256 + level from which the shingle is in its prefix.
+    """Postings (token, node, n) sorted by token, in. Out: kind 0, pairs of nodes and the cold shingles that
+    their prefixes share in this batch; kind 1, the hot postings as they are.
     """
 
-    def pairs(token: np.ndarray, node: np.ndarray, info: np.ndarray) -> list[np.ndarray]:
+    def pairs(token: np.ndarray, node: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of whole runs of at most ``limit``."""
         begins = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         size = np.diff(np.append(begins, len(token)))
         left = [np.zeros(0, np.int64)]
-        right = [np.zeros(0, np.int64)]
         place = np.arange(len(token)) - np.repeat(begins, size)
         rest = np.repeat(size, size) - place - 1
+        right = [np.zeros(0, np.int64)]
         for gap in range(1, int(size.max(initial=1))):
             i = np.flatnonzero(rest >= gap)
             left.append(i)
             right.append(i + gap)
         i, j = np.concatenate(left), np.concatenate(right)
-        ni, nj = info[i] >> 16, info[j] >> 16
-        level = np.minimum((info[i] >> 8) & 255, (info[j] >> 8) & 255)
-        ok = (4 * np.minimum(ni, nj) >= 3 * np.maximum(ni, nj)) & (node[i] != node[j]) & (np.maximum(info[i] & 255, info[j] & 255) <= level)
-        return [node[i[ok]], node[j[ok]], info[i[ok]], info[j[ok]]]
-
-    def batch_of(kind: int, a, b, ia, ib, token, shared) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(a), kind, np.int32)), *(pa.array(x) for x in (a, b, ia, ib, token)), pa.array(shared.astype(np.int32))], [f.split()[0] for f in _SCAN.split(", ")]
-        )
-
-    def cold(token, node, info) -> pa.RecordBatch:
-        a, b, ia, ib = pairs(token, node, info)
-        swap = a > b
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        ia, ib = np.where(swap, ib, ia) >> 8, np.where(swap, ia, ib) >> 8
+        ok = (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])) & (node[i] != node[j])
+        return node[i[ok]], node[j[ok]]
+
+    def batch_of(kind: int, a, b, token, shared) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(token), pa.array(shared.astype(np.int32))], [f.split()[0] for f in _SCAN.split(", ")])
+
+    def cold(token, node, n) -> pa.RecordBatch:
+        a, b = pairs(token, node, n)
+        a, b = np.minimum(a, b), np.maximum(a, b)
         order = np.lexsort((b, a))
-        a, b, ia, ib = a[order], b[order], ia[order], ib[order]
+        a, b = a[order], b[order]
         first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, np.int64)
-        shared = np.diff(np.append(first, len(a)))
-        return batch_of(0, a[first], b[first], ia[first], ib[first], np.zeros(len(first), np.int64), shared)
+        return batch_of(0, a[first], b[first], np.zeros(len(first), np.int64), np.diff(np.append(first, len(a))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zero = np.zeros(0, np.int64)
-        token, node, info = zero, zero, zero
+        token, node, n = zero, zero, zero
         streaming = None  # a hot token of which rows have been passed on
 
-        def finish(token, node, info, hot_token):
+        def finish(token, node, n, hot_token):
             """Whole runs, but that the first one is the rest of hot_token's."""
             if not len(token):
                 return
@@ -262,25 +261,25 @@ def _scan(limit: int):
             keep = np.repeat((size > 1) & ~many, size)
             if row_many.any():
                 m = int(row_many.sum())
-                yield batch_of(1, node[row_many], np.zeros(m, np.int64), info[row_many], np.zeros(m, np.int64), token[row_many], np.zeros(m))
+                yield batch_of(1, node[row_many], np.zeros(m, np.int64), token[row_many], np.zeros(m))
             if keep.any():
-                yield cold(token[keep], node[keep], info[keep])
+                yield cold(token[keep], node[keep], n[keep])
 
         for batch in batches:
             token = np.concatenate([token, batch.column(0).to_numpy(zero_copy_only=False)])
             node = np.concatenate([node, batch.column(1).to_numpy(zero_copy_only=False)])
-            info = np.concatenate([info, batch.column(2).to_numpy(zero_copy_only=False)])
+            n = np.concatenate([n, batch.column(2).to_numpy(zero_copy_only=False)])
             if not len(token):
                 continue
             open_ = int(np.searchsorted(token, token[-1], "left"))  # the last run may go on
             if len(token) - open_ > limit or (streaming is not None and token[-1] == streaming):
-                yield from finish(token, node, info, streaming)
+                yield from finish(token, node, n, streaming)
                 streaming = token[-1]
-                token, node, info = zero, zero, zero
+                token, node, n = zero, zero, zero
             else:
-                yield from finish(token[:open_], node[:open_], info[:open_], streaming)
-                token, node, info = token[open_:], node[open_:], info[open_:]
-        yield from finish(token, node, info, streaming)
+                yield from finish(token[:open_], node[:open_], n[:open_], streaming)
+                token, node, n = token[open_:], node[open_:], n[open_:]
+        yield from finish(token, node, n, streaming)
 
     return run
 
@@ -311,6 +310,32 @@ def _verify(space: Workspace, docs: DataFrame, nodes: DataFrame, pairs: DataFram
     return out
 
 
+def _need(n_a: Column, n_b: Column) -> Column:
+    """Seven times the least overlap of two linked sets."""
+    return 3 * (n_a + n_b)
+
+
+def _behind(a: str, b: str) -> Column:
+    """Shingles that two sets may share besides those in both prefixes.
+
+    Of the prefix that ends first in the global order every shared shingle lies in
+    the other prefix too, so only what stands behind it is not counted.
+    """
+    first = F.struct(f"{a}.end_count", f"{a}.end_hash") <= F.struct(f"{b}.end_count", f"{b}.end_hash")
+    return F.when(first, F.col(f"{a}.n") - F.col(f"{a}.p")).otherwise(F.col(f"{b}.n") - F.col(f"{b}.p"))
+
+
+def _hidden(a: str, b: str) -> Column:
+    """Hot shingles that both prefixes may share."""
+    return F.least(F.col(f"{a}.hidden"), F.col(f"{b}.hidden"))
+
+
+def _possible(a: str, b: str, shared: Column) -> Column:
+    """Whether sets that share so many cold shingles in their prefixes can be linked."""
+    found = shared + _hidden(a, b)
+    return (found >= F.least(f"{a}.level", f"{b}.level")) & (7 * (found + _behind(a, b)) >= _need(F.col(f"{a}.n"), F.col(f"{b}.n")))
+
+
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components."""
     ca = comps.select(F.col("node").alias("a"), F.col("component").alias("ca"))
@@ -325,46 +350,50 @@ def links(space: Workspace, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     bounded_batches(spark)
     docs = docs.select("doc_id", "text")
     bits, hot, often = hot_shingles(docs)
-    sets = space.store(docs.mapInArrow(_prefixes(bits, hot, often), "doc_id long, n long, node long, level int, prefix array<long>"))
+    sets = space.store(docs.mapInArrow(_prefixes(bits, hot, often), "doc_id long, n long, node long, level int, end_count long, end_hash long, prefix array<long>"))
     members = sets.select("doc_id", "n", "node")
     space.repeated = not members.where("n > 0").groupBy("doc_id").count().where("count > 1").isEmpty()
     nodes = space.store(members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc")))
     owners = sets.where("n > 0").join(nodes.select(F.col("doc").alias("doc_id"), F.col("node").alias("own")), "doc_id", "left_semi")
     one = owners.dropDuplicates(["node"]) if space.repeated else owners
-    base = F.expr("n - cast(ceil(3 * n / 4) as long)")
-    info = F.col("n") * 65536 + F.col("level") * 256 + F.greatest(F.lit(1), F.col("pos") - base + 1)
-    postings = one.select("n", "node", "level", F.posexplode("prefix").alias("pos", "token")).select("token", "node", info.cast("long").alias("info"))
+    postings = one.select("n", "node", F.explode("prefix").alias("token")).select("token", "node", "n")
     scanned = space.store(postings.repartition("token").sortWithinPartitions("token").mapInArrow(_scan(HOT), _SCAN))
-    level = F.least(F.col("info_a") % 256, F.col("info_b") % 256)
-    cold = scanned.where("kind = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("info_a").alias("info_a"), F.first("info_b").alias("info_b"))
-    cold = cold.where(F.col("shared") >= level)
-    rows = scanned.where("kind = 1").select("token", F.col("a").alias("node"), F.col("info_a").alias("info"))
-    # A hot posting's members meet representatives: eight orders of the members give few different ones to a group.
-    salt = F.pmod(F.xxhash64("token"), F.lit(8))
-    rank = F.struct(F.xxhash64("node", salt).alias("h"), "node")
-    chosen = rows.groupBy("token").agg(F.min(rank)["node"].alias("head"))
-    stars = rows.join(chosen, "token").where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"), F.col("info"))
+    rows = scanned.where("kind = 1").select("token", F.col("a").alias("node"))
+    hidden = rows.groupBy("node").agg(F.count("*").alias("hidden"))
+    facts = one.select("node", "n", "level", "end_count", "end_hash", F.size("prefix").alias("p")).join(hidden, "node", "left")
+    facts = space.store(facts.withColumn("hidden", F.coalesce("hidden", F.lit(0))))
+    cold = scanned.where("kind = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    x, y = facts.alias("x"), facts.alias("y")
+    cold = cold.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_possible("x", "y", F.col("shared")))
     cold = space.store(cold.select("a", "b", "shared"))
+    # Hot postings of nodes that could reach the overlap with hot shingles alone; pairs that share cold ones are in ``cold``.
+    hot_rows = space.store(rows.join(facts, "node").where(7 * (F.col("hidden") + F.col("n") - F.col("p")) >= _need(F.col("n"), 0.75 * F.col("n"))))
+    # A hot posting's members meet a representative: the one with the most hot shingles has the fewest of its own
+    # and so is nearest to what the group has in common; ties give up to eight to a group.
+    salt = F.pmod(F.xxhash64("token"), F.lit(8))
+    rank = F.struct((-F.col("hidden")).alias("r"), F.xxhash64("node", salt).alias("h"), "node", "n", "level", "end_count", "end_hash", "p", "hidden")
+    heads = hot_rows.groupBy("token").agg(F.min(rank).alias("x")).select("token", "x.*")
+    x, y = hot_rows.alias("x"), heads.alias("y")
+    alone = (4 * F.least("x.n", "y.n") >= 3 * F.greatest("x.n", "y.n")) & _possible("x", "y", F.lit(0))
+    stars = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") != F.col("y.node")) & alone)
+    stars = stars.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
     # First each node with the partner it shares most with, and the stars; then whatever is still apart.
     both = cold.unionByName(cold.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
     best = both.groupBy("a").agg(F.max(F.struct("shared", F.col("b").alias("p")))["p"].alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    first = space.store(best.union(stars.select("a", "b")).distinct())
+    first = space.store(best.union(stars).distinct())
     found = _verify(space, docs, nodes, first)
-    comps = components(space, found)
-    comp_of = comps.select("node", "component")
-    marked = space.store(rows.join(comp_of, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    comps = space.store(components(space, found).select("node", "component"))
+    marked = space.store(hot_rows.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")))
     mixed = marked.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     live = marked.join(mixed, "token", "left_semi")
-    l, r = live.alias("l"), live.alias("r")
-    n_l, n_r = F.shiftright("l.info", 16), F.shiftright("r.info", 16)
-    pair_level = F.least(F.shiftright("l.info", 8).bitwiseAND(255), F.shiftright("r.info", 8).bitwiseAND(255))
-    enters = F.greatest(F.col("l.info").bitwiseAND(255), F.col("r.info").bitwiseAND(255))
-    meets = (F.col("l.token") == F.col("r.token")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.component") != F.col("r.component"))
-    meets &= (4 * F.least(n_l, n_r) >= 3 * F.greatest(n_l, n_r)) & (enters <= pair_level)
-    crossed = l.join(r, meets).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-    # A pair that shares hot shingles may share cold ones too, so hot pairs are not held to the number alone.
-    second = space.store(_apart(cold.select("a", "b").union(crossed).distinct().join(first, ["a", "b"], "left_anti"), comp_of))
+    x, y = live.alias("x"), live.alias("y")
+    meets = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
+    crossed = x.join(y, meets & (4 * F.least("x.n", "y.n") >= 3 * F.greatest("x.n", "y.n")) & _possible("x", "y", F.lit(0)))
+    crossed = crossed.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    rest = _apart(cold.select("a", "b"), comps).union(crossed).distinct()
+    second = space.store(rest.join(first, ["a", "b"], "left_anti"))
     found2 = _verify(space, docs, nodes, second)
+    found = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
     return members, found.union(found2)
 
 
