@@ -6,7 +6,8 @@ the fraction is an inclusion probability. The flight phase of the cube method mo
 the probabilities of a block of documents along the null space of the balancing
 constraints (documents and words) until at most two are left undecided; those meet
 in ever fewer blocks, and the last two of a source land on the rounding that keeps
-its words nearest to the target.
+its words nearest to the target; what is then left over or short is settled by
+exchanging a few documents of the last block.
 
 Blocks hold a bounded number of documents whatever the source's size, so one source
 may hold most rows. All choices follow from hashes of doc_id and the seed: reruns
@@ -120,6 +121,17 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return p
 
 
+def settle(wanted: np.ndarray, x: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Exchanges a few units, each smaller than twice what the landing left over or short, the largest first."""
+    x = x.copy()
+    rest = float((x * size).sum() - (wanted * size).sum())
+    for k in np.argsort(-size, kind="stable"):
+        if 0 < size[k] < 2 * abs(rest) and x[k] == (rest > 0) and 0 < wanted[k] < 1:
+            x[k] = 1 - x[k]
+            rest += size[k] if x[k] else -size[k]
+    return x
+
+
 def _fly(seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         # Large documents are decided first, so what is left to land is small. Repeated rows share h and are exchangeable.
@@ -127,8 +139,9 @@ def _fly(seed: int):
         first = pdf.iloc[0]
         rng = np.random.default_rng([seed, int(first["h"]) & (2**63 - 1), int(first["b"]), len(pdf)])
         size = pdf["size"].to_numpy()
-        p = flight(pdf["p"].to_numpy(float), size, rng)
-        return pdf.assign(p=land(p, size) if first["level"] == 1 else p)
+        wanted = pdf["p"].to_numpy(float)
+        p = flight(wanted, size, rng)
+        return pdf.assign(p=settle(wanted, land(p, size), size) if first["level"] == 1 else p)
 
     return run
 
