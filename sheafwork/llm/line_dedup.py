@@ -72,15 +72,14 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     """
     t, band = threshold, 2 * threshold + 1
     full = (1 << band) - 1
-    xs, ys = F.split(a, ""), F.split(b, "")
     n, m = F.length(a), F.length(b)
 
     def long(x: int) -> Column:
         return F.lit(x).cast("long")
 
-    def step(state: Column, j: Column) -> Column:
-        y = F.get(ys, j)
-        hit = reduce(lambda p, q: p.bitwiseOR(q), [F.when(F.get(xs, j + d) == y, long(1 << (d + t))).otherwise(long(0)) for d in range(-t, t + 1)])
+    def step(chars: Column, state: Column, j: Column) -> Column:
+        y = F.get(chars["y"], j)
+        hit = reduce(lambda p, q: p.bitwiseOR(q), [F.when(F.get(chars["x"], j + d) == y, long(1 << (d + t))).otherwise(long(0)) for d in range(-t, t + 1)])
 
         def move(s: Column) -> Column:
             old, new, out = [], [], long(0)
@@ -97,7 +96,9 @@ def within(a: Column, b: Column, threshold: int) -> Column:
         return F.aggregate(F.array(F.struct(state.alias("s"), hit.alias("m"))), long(0), lambda _, s: move(s))
 
     start = sum(sum(1 << (d + t) for d in range(e + 1)) << (e * band) for e in range(t + 1))
-    last = F.aggregate(F.sequence(F.lit(0), m - 1), long(start), step)
+    # The characters are bound once: an expression inside a lambda is evaluated anew at every step.
+    chars = F.array(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y")))
+    last = F.get(F.transform(chars, lambda c: F.aggregate(F.sequence(F.lit(0), F.size(c["y"]) - 1), long(start), lambda s, j: step(c, s, j))), F.lit(0))
     bit = F.shiftright(last, t * band).bitwiseAND(F.call_function("shiftleft", long(1), (n - m + t).cast("int")))
     return F.when(F.abs(n - m) > t, F.lit(False)).when(m == 0, n <= t).otherwise(bit != 0)
 
