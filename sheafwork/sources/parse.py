@@ -28,6 +28,8 @@ from .plain import parse_code, parse_markdown, parse_text
 from .rtf import parse_rtf
 
 Parser = Callable[..., dict[str, Any]]
+#: Bytes of files whose documents are handed on together.
+_TOGETHER = 4 << 20
 
 
 def _legacy(data: bytes, name: str, options: Any) -> dict[str, Any]:
@@ -115,14 +117,18 @@ def parsed(files: DataFrame, options: ConvertOptions) -> DataFrame:
             fmt = batch.column(at["detection"]).field("format").to_pylist()
             names = batch.column(at["filename"]).to_pylist()
             sizes = batch.column(len(at)).to_pylist()
+            begin, weight, docs = 0, 0, []
             for i in range(batch.num_rows):
                 data = batch.column(at["content"])[i].as_py()
                 if data is None and (sizes[i] or 0) > options.limits.max_file_bytes:
-                    doc = failure("file_too_large", f"The file is over the limit of {options.limits.max_file_bytes} bytes.")
+                    docs.append(failure("file_too_large", f"The file is over the limit of {options.limits.max_file_bytes} bytes."))
                 else:
-                    doc = parse_one(data, names[i] or "", fmt[i], options)
-                fields = [pa.array([doc[f.name]], f.type) for f in arrow]
-                one = batch.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([*(one.column(at[c]) for c in keep), *fields], [*keep, *arrow.names])
+                    docs.append(parse_one(data, names[i] or "", fmt[i], options))
+                weight += sizes[i] or 0
+                if weight >= _TOGETHER or len(docs) == 256 or i + 1 == batch.num_rows:  # bounded in bytes, however large the files
+                    part = batch.slice(begin, len(docs))
+                    fields = [pa.array([d[f.name] for d in docs], f.type) for f in arrow]
+                    yield pa.RecordBatch.from_arrays([*(part.column(at[c]) for c in keep), *fields], [*keep, *arrow.names])
+                    begin, weight, docs = i + 1, 0, []
 
     return rows.mapInArrow(run, StructType(kept.fields + made.fields))

@@ -116,3 +116,19 @@ def test_stream_windows(spark, tmp_path):
     q = tumbling(stream, "1 hour").writeStream.outputMode("complete").format("memory").queryName("w").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("w").count() == 2
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from sheafwork.cli import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_text("# A\n\ntext")
+    (tmp_path / "in" / "b.doc").write_bytes(b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1")
+    path = str(tmp_path / "in")
+    assert main(["version"]) == 0 and main(["formats"]) == 0
+    assert main(["convert", path], spark) == 0
+    out = capsys.readouterr()
+    assert "# A" in out.out and "Legacy Office" in out.err
+    assert main(["convert", path, "--out", str(tmp_path / "out"), "--chunk"], spark) == 0
+    assert main(["inspect", path], spark) == 0
+    assert main(["convert", f"{path}/b.doc"], spark) == 1
