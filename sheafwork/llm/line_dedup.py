@@ -148,8 +148,13 @@ def links(space: Workspace, lines: DataFrame, threshold: int = THRESHOLD) -> Dat
     listed = lines.select("h", "line", F.inline(keys(F.col("line"), threshold)))
     live = listed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("own").alias("own")).where("lo <> hi and own").select("key")
     live = space.store(live)
-    members = space.store(listed.join(_side(live, live.count()), "key").select("key", "h", "own", "line"))
-    texts = space.store(members.groupBy("h").agg(F.first("line").alias("line")))
+    if live.count() <= SMALL:  # a broadcast moves no lines, so the texts come along
+        members = space.store(listed.join(F.broadcast(live), "key").select("key", "h", "own", "line"))
+        found = members.select("h", "line")
+    else:  # a shuffle takes the hashes alone, and each text once
+        members = space.store(listed.select("key", "h", "own").join(live, "key"))
+        found = lines.select("h", "line").join(members.select("h").distinct(), "h", "left_semi")
+    texts = space.store(found.groupBy("h").agg(F.first("line").alias("line")))
     few = members.groupBy("key", "h").agg(F.max("own").alias("own"))
     few = space.store(few)
     crowded = space.store(_crowded(few))
@@ -215,7 +220,8 @@ def cleaned(space: Workspace, docs: DataFrame, threshold: int = THRESHOLD) -> Da
     """docs, its text without the removed lines, and lines_before, lines_gone."""
     gone = space.store(removals(space, docs, threshold))
     d = docs.alias("d")
-    g = gone.select(F.col("doc_id").alias("g_doc"), F.col("text_hash").alias("g_hash"), F.col("gone").alias("g_gone")).alias("g")
+    # By a shuffle at every size: what is removed grows with the input.
+    g = gone.select(F.col("doc_id").alias("g_doc"), F.col("text_hash").alias("g_hash"), F.col("gone").alias("g_gone")).hint("merge").alias("g")
     joined = d.join(g, (F.xxhash64("d.text") == F.col("g_hash")) & F.col("d.doc_id").eqNullSafe(F.col("g_doc")), "left")
     parts = F.split("d.text", "\n")
     kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("g_gone", i)), "\n")

@@ -86,9 +86,10 @@ def mutated(line, edits):
     return line
 
 
-@pytest.mark.parametrize(("threshold", "crowd"), [(1, 32), (1, 4), (2, 32), (0, 32)])
-def test_line_dedup(spark, threshold, crowd, monkeypatch):
+@pytest.mark.parametrize(("threshold", "crowd", "small"), [(1, 32, 1000), (1, 4, 0), (2, 32, 0), (0, 32, 1000)])
+def test_line_dedup(spark, threshold, crowd, small, monkeypatch):
     monkeypatch.setattr(line_dedup, "CROWD", crowd)
+    monkeypatch.setattr(line_dedup, "SMALL", small)
     base = ["".join(random.choices("abcdefgh é", k=random.choice([15, 17, 40, 90]))) for _ in range(10)]
     rows = [(i, "\n".join(mutated(random.choice(base), random.choice([0, 1, 2, 3])) for _ in range(random.randint(0, 4)))) for i in range(80)]
     rows += [(500 + i, f"counter value number {i:03d} of a long running series") for i in range(60)]
