@@ -183,3 +183,16 @@ def dedup(space: Workspace, vectors: DataFrame, cosine: float = COSINE, tile: in
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(Workspace(spark, "embedding_dedup"), table(spark, sf_dir, "embeddings"))
+
+
+def sql() -> str:
+    """All pairs of a label, in DuckDB's SQL."""
+    return f"""
+    with recursive v as (
+        select vec_id, label, cast(embedding as double[]) as v from embeddings
+        where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ), links as materialized (
+        select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= {COSINE}
+    ), reach as (select vec_id, vec_id as c from embeddings union select l.b, r.c from reach r join links l on r.vec_id = l.a),
+    c as (select vec_id, min(c) as component_id from reach group by vec_id), n as (select a as vec_id, count(*) as n from links group by a)
+    select e.vec_id, coalesce(n, 0) as n_links, component_id, e.vec_id = component_id as kept from embeddings e join c on e.vec_id = c.vec_id left join n on e.vec_id = n.vec_id"""

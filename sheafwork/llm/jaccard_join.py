@@ -425,3 +425,18 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return left
     named = left.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
     return named.unionByName(left.where("doc_id is null"))
+
+
+def sql() -> str:
+    """All pairs that share a shingle, in DuckDB's SQL."""
+    return r"""
+    with recursive w as (
+        select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+    ), s as (
+        select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i : i + 4], ' '))) end as s from w
+    ), e as (select doc_id, len(s) as n, unnest(s) as t from s),
+    links as materialized (
+        select a.doc_id as a, b.doc_id as b from e a join e b on a.t = b.t and a.doc_id <> b.doc_id and 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)
+        group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))
+    ), reach as (select doc_id, doc_id as c from s union select l.b, r.c from reach r join links l on r.doc_id = l.a)
+    select s.doc_id, cast(len(s.s) as bigint) as n_shingles, min(c) as component_id from s join reach r on s.doc_id = r.doc_id group by s.doc_id, s.s"""

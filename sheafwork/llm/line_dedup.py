@@ -244,3 +244,23 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("lines_gone") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
+
+
+def sql() -> str:
+    """Every pair of lines of about one length that agree in either half, in DuckDB's SQL."""
+    return rf"""
+    with recursive l as (
+        select doc_id, unnest(generate_series(0, len(l) - 1)) as pos, unnest(l) as line from (select doc_id, string_split(text, chr(10)) as l from documents where text is not null)
+    ), t as (select * from l where length(line) >= {MIN_LENGTH} and regexp_matches(line, '[^\x20\x09-\x0D]')),
+    d as materialized (select distinct line, length(line) as n from t),
+    k as (
+        select line, n, s, substr(line, 1, (n - s) // 2) as head, right(line, (n - s) - (n - s) // 2) as tail from d, (select unnest([0, 1]) as s)
+    ), p as (
+        select a.line as a, b.line as b from k a join k b on a.s = 0 and a.n = b.n - b.s and a.head = b.head and a.line <> b.line
+        union select a.line, b.line from k a join k b on a.s = 0 and a.n = b.n - b.s and a.tail = b.tail and a.line <> b.line
+    ), e as materialized (select a, b from p where levenshtein(a, b) <= {THRESHOLD} union select b, a from p where levenshtein(a, b) <= {THRESHOLD}),
+    reach as (select a as line, a as c from e union select e.b, r.c from reach r join e on r.line = e.a),
+    c as (select line, min(c) as class from reach group by line),
+    f as (select doc_id, pos, row_number() over (partition by coalesce(class, t.line) order by doc_id, pos) as k from t left join c on t.line = c.line)
+    select x.doc_id, count(l.pos) as n_lines, count(f.k) filter (f.k > 1) as n_removed, case when x.text is null then null else coalesce(string_agg(l.line, chr(10) order by l.pos) filter (f.k is null or f.k = 1), '') end as text
+    from documents x left join l on x.doc_id = l.doc_id left join f on l.doc_id = f.doc_id and l.pos = f.pos group by x.doc_id, x.text"""

@@ -25,4 +25,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_derivatives": warc.sql()}
+    return {
+        "op4_warc_derivatives": warc.sql(),
+        "op5_line_dedup": line_dedup.sql(),
+        "op6_jaccard_join": jaccard_join.sql(),
+        "op8_embedding_dedup": embedding_dedup.sql(),
+    }
