@@ -153,12 +153,10 @@ def detect(content: Column, name: Column, names: Column | None = None) -> Column
 
 
 def with_detection(files: DataFrame, content: str = "content", name: str = "filename") -> DataFrame:
-    """Adds ``detection``; the members of ZIP containers alone go through Python."""
+    """Adds ``detection`` in one scan; only the bytes of ZIP containers go to Python, for their members' names."""
     magic = F.startswith(F.col(content), F.unhex(F.lit("504B0304"))) | F.startswith(F.col(content), F.unhex(F.lit("504B0506")))
-    flagged = files.withColumn("zipped", F.coalesce(magic, F.lit(False)))
-    zips = flagged.where("zipped").withColumn("members", zip_names(content))
-    rest = flagged.where("not zipped").withColumn("members", F.lit(None).cast("array<string>"))
-    return zips.unionByName(rest).withColumn("detection", detect(F.col(content), F.col(name), F.col("members"))).drop("zipped", "members")
+    members = files.withColumn("members", zip_names(F.when(magic, F.col(content))))
+    return members.withColumn("detection", detect(F.col(content), F.col(name), F.col("members"))).drop("members")
 
 
 def parsers(spark: SparkSession) -> DataFrame:

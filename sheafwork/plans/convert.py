@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.detect import with_detection
 from ..functions.text import title_from_filename
@@ -31,35 +31,28 @@ def documents(files: DataFrame, options: ConvertOptions | None = None) -> DataFr
     return out.withColumn("format", F.col("detection.format"))
 
 
-def _front(o: ConvertOptions, converted_at: str | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import yaml
+@F.pandas_udf(T.StringType())
+def _yaml(facts: pd.Series) -> pd.Series:
+    import yaml
 
-        for batch in batches:
-            out = []
-            for r in batch.select(["title", "filename", "format", "media_type", "size_bytes", "sha256", "words", "metadata", "asset_names", "warnings"]).to_pylist():
-                data = {"title": r["title"], "source": {"filename": r["filename"], "format": r["format"], "media_type": r["media_type"], "bytes": r["size_bytes"], "sha256": r["sha256"]}}
-                if converted_at:
-                    data["converted_at"] = converted_at
-                data |= {"converted_by": CONVERTED_BY, "word_count": r["words"]}
-                for key, value in (("document", json.loads(r["metadata"] or "{}")), ("assets", r["asset_names"]), ("warnings", r["warnings"])):
-                    if value:
-                        data[key] = value
-                out.append("---\n" + yaml.safe_dump(data, sort_keys=False, allow_unicode=True, width=100).strip() + "\n---")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row_key", "frontmatter"])
+    def one(text: str) -> str:
+        data = {k: v for k, v in json.loads(text).items() if k not in ("document", "assets", "warnings", "converted_at") or v}
+        return "---\n" + yaml.safe_dump(data, sort_keys=False, allow_unicode=True, width=100).strip() + "\n---"
 
-    return run
+    return facts.map(one)
 
 
-def with_frontmatter(docs: DataFrame, o: ConvertOptions, converted_at: str | None = None) -> DataFrame:
+def with_frontmatter(docs: DataFrame, converted_at: str | None = None) -> DataFrame:
     """Adds ``frontmatter``, YAML about the source. The time is an argument, so that a rerun gives the same text."""
     words = F.aggregate(F.transform("blocks", block_words), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0)))
-    facts = docs.select(
-        F.col("doc_id").cast("string").alias("row_key"), "title", "filename", "format", F.col("detection.media_type").alias("media_type"), "size_bytes", "sha256",
-        words.alias("words"), "metadata", F.transform("assets", lambda a: a["filename"]).alias("asset_names"), "warnings",
-    )
-    made = facts.mapInArrow(_front(o, converted_at), "row_key string, frontmatter string")
-    return docs.join(made, docs["doc_id"].cast("string") == made["row_key"]).drop("row_key")
+    source = F.struct("filename", "format", F.col("detection.media_type").alias("media_type"), F.col("size_bytes").alias("bytes"), "sha256")
+    head = F.to_json(
+        F.struct("title", source.alias("source"), F.lit(converted_at).alias("converted_at"), F.lit(CONVERTED_BY).alias("converted_by"), words.alias("word_count")), {"ignoreNullFields": "false"}
+    )
+    rest = F.to_json(F.struct(F.transform("assets", lambda a: a["filename"]).alias("assets"), F.col("warnings").alias("warnings")), {"ignoreNullFields": "false"})
+    # The metadata is JSON already: the three objects become one.
+    facts = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"document":'), F.coalesce("metadata", F.lit("{}")), F.lit(","), F.substring(rest, F.lit(2), F.length(rest)))
+    return docs.withColumn("frontmatter", _yaml(facts))
 
 
 def convert(files: DataFrame, options: ConvertOptions | None = None, converted_at: str | None = None) -> DataFrame:
@@ -67,7 +60,7 @@ def convert(files: DataFrame, options: ConvertOptions | None = None, converted_a
     o = options or ConvertOptions()
     docs = documents(files, o)
     if o.frontmatter:
-        docs = with_frontmatter(docs, o, converted_at)
+        docs = with_frontmatter(docs, converted_at)
     out = render.markdown(docs, o)
     return out.withColumn("markdown", F.when(F.col("error").isNull(), F.col("markdown")))
 
