@@ -48,6 +48,29 @@ def drop_furniture(lines: DataFrame, furniture: DataFrame) -> DataFrame:
     return kept.withColumn("key", generalise(F.col("text"))).join(furniture.select("doc_id", "key"), ["doc_id", "key"], "left_anti").drop("key")
 
 
+def infer(lines: DataFrame) -> DataFrame:
+    """Adds ``body``, ``size_level`` and ``furniture`` to every line with a single shuffle, by document.
+
+    The same rules as body_size, heading_levels and running_furniture, as windows: once
+    rows are dealt by document, windows over a document and a page, size or key of it
+    move nothing more.
+    """
+    doc, page = Window.partitionBy("doc_id"), Window.partitionBy("doc_id", "page")
+    size, key = Window.partitionBy("doc_id", "size"), Window.partitionBy("doc_id", "key")
+    out = lines.withColumn("total", F.max("page").over(doc))
+    out = out.withColumns({"top": F.row_number().over(page.orderBy("line_no")), "bottom": F.row_number().over(page.orderBy(F.desc("line_no"))), "key": generalise(F.col("text"))})
+    out = out.withColumns({"w": F.sum(F.greatest(F.lit(1), F.length("text"))).over(size), "first": F.min(F.struct("page", "line_no")).over(size)})
+    best = F.struct("w", (-F.col("first.page")).alias("p"), (-F.col("first.line_no")).alias("l"), "size")
+    out = out.withColumn("body", F.max(best).over(doc)["size"])
+    big = (F.col("body") > 0) & (F.col("size") > F.col("body") * ABOVE_BODY)
+    rank = F.dense_rank().over(doc.orderBy(F.when(big, F.col("size")).desc_nulls_last()))
+    ends = ((F.col("top") <= 2) | (F.col("bottom") <= 2)) & (F.col("key") != "") & (F.length("key") < 120)
+    seen = F.size(F.collect_set(F.when(ends, F.col("page"))).over(key))
+    needed = F.when(F.col("total") < 4, F.col("total")).otherwise(F.greatest(F.lit(3), F.floor(F.col("total") * 0.6)))
+    out = out.withColumns({"size_level": F.when(big & (rank <= 4), rank), "furniture": (F.col("total") >= 2) & (seen >= needed)})
+    return out.drop("total", "top", "bottom", "key", "w", "first")
+
+
 def outline_levels(lines: DataFrame, outline: DataFrame) -> DataFrame:
     """Adds ``outline_level`` by the document's own table of contents (doc_id, page, seq, level, title); the last entry of a page and title wins."""
     keyed = outline.select("doc_id", "page", "seq", "level", normal_line(F.col("title")).alias("norm")).where("norm <> ''")

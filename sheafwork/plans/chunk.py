@@ -25,10 +25,10 @@ def heading_path(rows: DataFrame, key: str = "doc_id", order: str = "pos", level
     """
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     at = lambda test, value: F.last(F.when(test, F.col(value)), ignorenulls=True).over(w)
-    out, names = rows, []
+    names = {}  # all in one step: one window, not one for each
     for k in range(1, 7):
-        out = out.withColumn(f"__h{k}", at(F.col(level) == k, text)).withColumn(f"__p{k}", at(F.col(level) == k, order)).withColumn(f"__o{k}", at(F.col(level) < k, order))
-        names += [f"__h{k}", f"__p{k}", f"__o{k}"]
+        names |= {f"__h{k}": at(F.col(level) == k, text), f"__p{k}": at(F.col(level) == k, order), f"__o{k}": at(F.col(level) < k, order)}
+    out = rows.withColumns(names)
     parts = [F.when(F.coalesce(F.col(f"__p{k}") > F.col(f"__o{k}"), F.col(f"__p{k}").isNotNull()), F.col(f"__h{k}")) for k in range(1, 7)]
     top = [F.col(title)] if title else []
     return out.withColumn("path", F.filter(F.array(*top, *parts), lambda x: x.isNotNull() & (x != ""))).drop(*names)

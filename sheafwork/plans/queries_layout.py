@@ -66,12 +66,9 @@ def _kept(spark, d):
 
 
 def _levelled(spark, d):
-    lines = _lines(spark, d)
-    body = L.body_size(lines)
-    sizes = L.heading_levels(lines, body).withColumnRenamed("level", "size_level")
-    kept = L.drop_furniture(lines, L.running_furniture(lines)).join(body, "doc_id").join(sizes, ["doc_id", "size"], "left")
+    lines = L.infer(_lines(spark, d)).where(~F.col("furniture") & (T.strip(F.col("text")) != "") & ~T.is_page_number(F.col("text")))
     level = L.level_of(F.col("size"), F.col("body"), F.col("size_level"), F.lit(None).cast("int"), F.col("bold"), F.col("text"))
-    return kept.withColumn("level", level.cast("long"))
+    return lines.withColumn("level", level.cast("long"))
 
 
 _LEVELLED = f"""(select k.*, b.body, cast(case when s.level is not null and k.size > b.body * 1.12 then s.level when k.bold and k.size >= b.body and {_heading_sql('k.text', 10)} then 3 end as bigint) as level
