@@ -63,7 +63,7 @@ def _own(block: Block, lines: Lines) -> np.ndarray:
         count(data == 33) / word,
         count(data == 124) / word,
         per(line_of, lines.n, same) / word,
-        per(line_of, lines.n, words.repeated(3)) / word,
+        per(line_of, lines.n, words.repeated(3, line_of)) / word,
         count(_DIGIT[data]) / size,
         count(_STOP[data]) / word,
     ]

@@ -81,22 +81,24 @@ class Words:
         at = np.arange(len(place)) - np.repeat(first, size)
         self.hash = mix(np.add.reduceat((data[place].astype(np.uint64) + _U(1)) * _POWER[at & 0xFFFF], first) + size.astype(np.uint64))
 
-    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the first word, hash) of each run of k words within one row."""
+    def windows(self, k: int, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the first word, hash) of each run of k words within one row, or one group of words."""
+        group = self.row if group is None else group
         if self.n < k:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         total = np.zeros(self.n - k + 1, np.uint64)
         for j in range(k):
             total += self.hash[j : self.n - k + 1 + j] * _STEP[j]
-        inside = np.flatnonzero(self.row[: self.n - k + 1] == self.row[k - 1 :])
+        inside = np.flatnonzero(group[: self.n - k + 1] == group[k - 1 :])
         return inside, mix(total[inside])
 
-    def repeated(self, k: int) -> np.ndarray:
-        """Marks the words that lie in a k-word window found twice or more in their row."""
+    def repeated(self, k: int, group: np.ndarray | None = None) -> np.ndarray:
+        """Marks the words that lie in a k-word window found twice or more in their row, or their group."""
+        group = self.row if group is None else group
         marked = np.zeros(self.n, bool)
-        at, h = self.windows(k)
+        at, h = self.windows(k, group)
         if len(at):
-            key = mix(h + self.row[at].astype(np.uint64) * _STEP[40])
+            key = mix(h + group[at].astype(np.uint64) * _STEP[40])
             order = np.sort(key)
             twice = np.unique(order[1:][order[1:] == order[:-1]])
             if len(twice):
