@@ -1,11 +1,21 @@
 """sheafwork: document ingestion and analytics expressed as Spark DataFrames."""
 
+from .functions.detect import parsers, supported_formats
+from .functions.detect import with_detection as detect
 from .options import ConvertOptions, Limits
 from .plans.chunk import chunks as chunk_documents
-from .plans.convert import chunks, compare, convert, documents, one
+from .plans.chunk import to_jsonl
+from .plans.convert import chunks, compare, convert, documents, one, window
 from .plans.sinks import write_jsonl, write_markdown, write_tables
 from .sources.model import SourceError
 from .sources.read import column, files
 
 __version__ = "0.1.0"
-__all__ = ["ConvertOptions", "Limits", "SourceError", "chunk_documents", "chunks", "column", "compare", "convert", "documents", "files", "one", "write_jsonl", "write_markdown", "write_tables"]
+
+
+def formats(spark):
+    """(format, label) of every format that is read."""
+    return supported_formats(parsers(spark))
+
+
+__all__ = ["ConvertOptions", "Limits", "SourceError", "chunk_documents", "chunks", "column", "compare", "convert", "detect", "documents", "files", "formats", "one", "to_jsonl", "window", "write_jsonl", "write_markdown", "write_tables"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.detect import with_detection
-from ..functions.text import title_from_filename
+from ..functions.text import cut, title_from_filename
 from ..operators.measure import block_words, headline, measure
 from ..options import ConvertOptions
 from ..sources.parse import parsed
@@ -65,6 +65,14 @@ def convert(files: DataFrame, options: ConvertOptions | None = None, converted_a
     return out.withColumn("markdown", F.when(F.col("error").isNull(), F.col("markdown")))
 
 
+def window(converted: DataFrame, offset: int = 0, most: int = 20_000) -> DataFrame:
+    """(doc_id, text, next_offset, total): a piece of each Markdown text, ended at a blank line if one is near; next_offset is null at the end."""
+    piece = cut(F.col("markdown"), offset, max(1000, most))
+    end = F.length("text") + offset
+    rows = converted.select("doc_id", piece.alias("text"), F.length("markdown").alias("total"))
+    return rows.select("doc_id", "text", F.when(end < F.col("total"), end).alias("next_offset"), "total")
+
+
 def chunks(files: DataFrame, options: ConvertOptions | None = None) -> DataFrame:
     return chunk.chunks(documents(files, options).where("error is null"), options)
 

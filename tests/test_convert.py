@@ -40,6 +40,18 @@ def test_markdown_is_sound_and_repeatable(spark, files):
     assert sorted(docs.collect()) == sorted(docs.collect())
 
 
+def test_verbs(spark, files):
+    assert sheafwork.formats(spark).count() == 20
+    assert {r["detection"]["format"] for r in sheafwork.detect(files).collect()} >= {"docx", "zip", "epub", "image", "code"}
+    text = "\n\n".join(f"Paragraph {i} of the text." for i in range(200))
+    whole = spark.createDataFrame([(1, text)], "doc_id long, markdown string")
+    at, got = 0, ""
+    while at is not None:
+        r = sheafwork.window(whole, at, 1000).first()
+        got, at = got + r["text"], r["next_offset"]
+    assert got == text
+
+
 def test_one(spark):
     r = sheafwork.one(spark, b"# T\n\ntext", "a.md")
     assert "# T" in r["markdown"]
