@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,13 +38,19 @@ class Workspace:
 
     A written table cuts the lineage and outlives lost executors. ``drop`` removes
     a table once a later table that replaces it has been written; tables that the
-    returned DataFrame still reads stay until ``close``.
+    returned DataFrame still reads stay until ``close``, or until the program ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/sheafwork/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        atexit.register(self._at_exit)
+
+    def _at_exit(self) -> None:
+        if self.spark.sparkContext._jsc is not None:
+            with contextlib.suppress(Exception):  # the JVM may be gone already
+                self.close()
 
     def store(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
         self._n += 1
