@@ -366,8 +366,9 @@ def links(space: Workspace, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     x, y = facts.alias("x"), facts.alias("y")
     cold = cold.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_possible("x", "y", F.col("shared")))
     cold = space.store(cold.select("a", "b", "shared"))
-    # Hot postings of nodes that could reach the overlap with hot shingles alone; pairs that share cold ones are in ``cold``.
-    hot_rows = space.store(rows.join(facts, "node").where(7 * (F.col("hidden") + F.col("n") - F.col("p")) >= _need(F.col("n"), 0.75 * F.col("n"))))
+    # All hot postings: whether hot shingles alone reach the overlap depends on the prefix that ends first, so on the
+    # pair; pairs that share cold ones are in ``cold``.
+    hot_rows = space.store(rows.join(facts, "node"))
     # A hot posting's members meet a representative: the one with the most hot shingles has the fewest of its own
     # and so is nearest to what the group has in common; ties give up to eight to a group.
     salt = F.pmod(F.xxhash64("token"), F.lit(8))

@@ -68,6 +68,23 @@ def test_jaccard_stage_keeps_one(spark, near):
     assert jaccard_join.groups(Workspace(spark, "t"), docs.limit(0)).count() == 0
 
 
+def test_jaccard_links_through_a_template(spark):
+    """Extensions of a text are linked by that text alone; most share only hot shingles with it."""
+    r = random.Random(7)
+    rows = []
+    for size in (14, 24, 34, 64, 84):
+        template = [f"t{size}x{k}" for k in range(size)]
+        rows.append(" ".join(template))
+        for _ in range(70):
+            more = max(1, int((size - 4) * r.choice([0.25, 0.3, 0.3 * r.random()])))
+            rows.append(" ".join(template + [f"e{r.randrange(10**9)}" for _ in range(more)]))
+    rows = list(enumerate(rows))
+    want = jaccard_components(rows)
+    assert len({c for _, c in want.values()}) == 5
+    got = jaccard_join.groups(Workspace(spark, "t"), frame(spark, rows)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
 def test_components(spark):
     edges = [(random.randrange(400), random.randrange(400)) for _ in range(300)] + [(1000, k) for k in range(500, 700)] + [(k, k + 1) for k in range(2000, 2100)] + [(5, 5), (None, 3)]
     sets = Sets({n for e in edges for n in e if n is not None})
