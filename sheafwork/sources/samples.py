@@ -51,7 +51,7 @@ def pptx(lines: list[str]) -> bytes:
         paras = "".join(f'<a:p><a:pPr lvl="{d}"/><a:r><a:t>{_xml(t)}</a:t></a:r></a:p>' for d, t in texts)
         return f'<p:sp><p:nvSpPr><p:cNvPr id="1" name="s"/>{ph}</p:nvSpPr><p:spPr><a:xfrm><a:off x="0" y="{y}"/></a:xfrm></p:spPr><p:txBody>{paras}</p:txBody></p:sp>'
 
-    slides = [shape([(0, "below"), (1, "nested")], 900) + shape([(0, lines[0][:60] if lines else "x")], 100) + shape([(0, "First slide")], 0, "title"), shape([(0, x[:60]) for x in lines[:3]] or [(0, "y")], 10)]
+    slides = [shape([(0, "below"), (1, "nested")], 900) + shape([(0, lines[0] if lines else "x")], 100) + shape([(0, "First slide")], 0, "title"), shape([(0, x) for x in lines] or [(0, "y")], 10)]
     parts = {f"ppt/slides/slide{i}.xml": f'<p:sld xmlns:p="{p}" xmlns:a="{a}"><p:cSld><p:spTree>{s}</p:spTree></p:cSld></p:sld>' for i, s in enumerate(slides, 1)}
     ids = "".join(f'<p:sldId id="{255 + i}" r:id="r{i}"/>' for i in range(1, len(slides) + 1))
     rels = "".join(f'<Relationship Id="r{i}" Type="{_REL}/slide" Target="slides/slide{i}.xml"/>' for i in range(1, len(slides) + 1))
@@ -61,7 +61,7 @@ def pptx(lines: list[str]) -> bytes:
 def xlsx(lines: list[str]) -> bytes:
     s = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     text = lambda ref, x: f'<c r="{ref}" t="inlineStr"><is><t>{_xml(x)}</t></is></c>'
-    rows = [text("A1", "Month") + text("B1", "Sum") + text("C1", "Growth"), text("A2", "Jan") + '<c r="B2" s="1"><v>1234.5</v></c><c r="C2" s="2"><v>0.25</v></c>', text("A3", "Feb") + '<c r="B3" s="1"><v>-890</v></c><c r="C3" s="3"><v>45292</v></c>', "", text("A5", lines[0][:80] if lines else "note")]
+    rows = [text("A1", "Month") + text("B1", "Sum") + text("C1", "Growth"), text("A2", "Jan") + '<c r="B2" s="1"><v>1234.5</v></c><c r="C2" s="2"><v>0.25</v></c>', text("A3", "Feb") + '<c r="B3" s="1"><v>-890</v></c><c r="C3" s="3"><v>45292</v></c>', "", *(text(f"A{i}", x) for i, x in enumerate(lines or ["note"], 5))]
     data = "".join(f'<row r="{i}">{r}</row>' for i, r in enumerate(rows, 1))
     styles = f'<styleSheet xmlns="{s}"><numFmts><numFmt numFmtId="164" formatCode="&quot;$&quot;#,##0.00"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="164"/><xf numFmtId="9"/><xf numFmtId="14"/></cellXfs></styleSheet>'
     book = f'<workbook xmlns="{s}" xmlns:r="{_REL}"><sheets><sheet name="Data" sheetId="1" r:id="r1"/><sheet name="Scratch" sheetId="2" state="hidden" r:id="r2"/></sheets></workbook>'
@@ -78,16 +78,16 @@ def epub(lines: list[str]) -> bytes:
 
 
 def build(kind: str, text: str) -> bytes:
-    lines = [x for x in text.split("\n") if x.strip()][:20]
+    lines = [x for x in text.split("\n") if x.strip()]
     plain = "\n\n".join(["SAMPLE TITLE", *lines, "- one\n- two"])
     if kind == "md":
         return f"---\ntitle: Sample\n---\n# Sample\n\n{plain}\n".encode()
     if kind == "csv":
-        return ("Month,Sum,Note\r\n" + "\r\n".join(f'M{i},{i * 10},"{x[:30].replace(chr(34), chr(34) * 2)}"' for i, x in enumerate(lines)) + "\r\n").encode()
+        return ("Month,Sum,Note\r\n" + "\r\n".join(f'M{i},{i * 10},"{x.replace(chr(34), chr(34) * 2)}"' for i, x in enumerate(lines)) + "\r\n").encode()
     if kind == "json":
-        return json.dumps({"product": "sample", "formats": ["a", "b"], "lines": [{"n": i, "text": x[:40]} for i, x in enumerate(lines)], "deep": {"x": {"y": None}}}, ensure_ascii=False).encode()
+        return json.dumps({"product": "sample", "formats": ["a", "b"], "lines": [{"n": i, "text": x} for i, x in enumerate(lines)], "deep": {"x": {"y": None}}}, ensure_ascii=False).encode()
     if kind == "jsonl":
-        return "\n".join([*(json.dumps({"id": i, "text": x[:40]}) for i, x in enumerate(lines)), "{broken"]).encode()
+        return "\n".join([*(json.dumps({"id": i, "text": x}) for i, x in enumerate(lines)), "{broken"]).encode()
     if kind == "html":
         return f"<html><head><title>Sample</title></head><body><nav>menu</nav><main><h1>Sample</h1>{''.join(f'<p>{_xml(x)}' for x in lines)}<ul><li>one<ul><li>nested</ul></ul><table><tr><th>a<th>b<tr><td>1<td>2</table></main></body></html>".encode()
     if kind == "xml":
@@ -105,7 +105,7 @@ def build(kind: str, text: str) -> bytes:
     if kind == "zip":
         return container({"notes.md": f"# Notes\n\n{plain}", "data.csv": "a,b\n1,2\n", "__MACOSX/junk": "x", "inner.zip": container({"deep.txt": "DEEP TITLE\n\ntext."})})
     if kind == "py":
-        return b"def f():\n    return 1\n"
+        return "\n".join(["def f():\n    return 1", *(f"# {x}" for x in lines), ""]).encode()
     if kind == "png":
         return b"\x89PNG\r\n\x1a\n\x00\x00\x00\rIHDR" + (3).to_bytes(4, "big") + (2).to_bytes(4, "big") + b"\x08\x02\x00\x00\x00"
     if kind == "pdf":

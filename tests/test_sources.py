@@ -135,6 +135,14 @@ def test_damaged_files_never_raise(kind):
         assert parse_one(bad, f"a.{kind}", sniff(bad, f"a.{kind}"), O)["blocks"] is not None
 
 
+@pytest.mark.parametrize("kind", [k for k in samples.KINDS if k not in ("png", "pdf")])
+def test_samples_hold_the_whole_text(kind):
+    lines = [f"begin{i} " + "some words of a long line " * 20 + f"end{i}." for i in range(60)]
+    data = samples.build(kind, "\n".join(lines))
+    text = json.dumps(parse_one(data, f"a.{kind}", sniff(data, f"a.{kind}"), O)["blocks"], default=str)
+    assert all(f"begin{i} " in text and f"end{i}." in text for i in range(60))
+
+
 def test_own_parser():
     from sheafwork.sources import parse as registry
     from sheafwork.sources.model import document, paragraph
