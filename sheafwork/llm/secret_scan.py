@@ -1,6 +1,7 @@
 """Secret scans: candidate strings, and a random forest that removes false positives.
 
-Candidates are words that hold a digit, or a value after a credential-like name. The
+Candidates are words that hold a digit, a value after a credential-like name, in the
+same word or in the next one or two, and AWS key ids. The
 forest sees the candidate's length, its character classes and the transitions
 between them, its entropy, how much of it dictionary words cover, the document's
 path and the neighbouring words. It is fitted on labelled findings; without any of
@@ -35,6 +36,9 @@ FINDINGS = 8000
 _DICTIONARY = "password|passwd|example|sample|secret|token|change|admin|test|user|mail|http|https|www|com|net|org|html|your|here|key|value|version|release|page|chapter|figure|table|license|public|general|item|order|invoice|build|commit|image|file|index|the|and|for|with|from|this|that"
 _NAMES = "passw(?:or)?d|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer|pwd"
 _PLACEHOLDER = "example|sample|dummy|placeholder|changeme|your|xxxx|test|commit|sha|checksum|digest|revision|uuid|isbn|tel|phone|call|version"
+#: A word that ends with such a name and = or :, one that ends with the name alone, and the marks that may follow it as a word.
+_ASSIGNS, _ENDS, _MARKS = f"(?i)(?:{_NAMES})[\"']?(?::=|=>|[=:])$", f"(?i)(?:{_NAMES})[\"']?$", ("=", ":", ":=", "=>")
+_AWS = "(?:AKIA|ASIA)[A-Z0-9]{16}"
 _EXAMPLES = "test|spec|example|sample|fixture|doc|mock"
 
 FEATURES = (
@@ -47,14 +51,20 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     """(doc_id, path, at, word, before, last, after): each candidate word, its number, and its neighbours."""
     words = F.split("text", "[ \t\n\x0b\f\r]+")
     where = F.col(path) if path in docs.columns else F.lit("")
-    rows = docs.where(F.col("text").rlike(f"[0-9]|(?i)(?:{_NAMES})[\"']?[=:]")).select("doc_id", F.coalesce(where.cast("string"), F.lit("")).alias("path"), words.alias("words"))
+    rows = docs.where(F.col("text").rlike(f"[0-9]|{_AWS}|(?i)(?:{_NAMES})[\"']?[ \t\n\x0b\f\r]*[=:]")).select("doc_id", F.coalesce(where.cast("string"), F.lit("")).alias("path"), words.alias("words"))
     numbered = F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word")))
-    chosen = F.filter(numbered, lambda x: (F.length(x["word"]) >= SHORTEST) & (x["word"].rlike("[0-9]") | x["word"].rlike(f"(?i)(?:{_NAMES})[\"']?[=:]")))
     near = lambda i: F.coalesce(F.get("words", i), F.lit(""))
+    own = lambda w: w.rlike("[0-9]") | w.rlike(f"(?i)(?:{_NAMES})[\"']?[=:]") | w.rlike(_AWS)
+    chosen = F.filter(numbered, lambda x: (F.length(x["word"]) >= SHORTEST) & (own(x["word"]) | _given(near(x["at"] - 2), near(x["at"] - 1))))
     around = F.transform(chosen, lambda x: F.struct(x["at"].alias("at"), x["word"].alias("word"), near(x["at"] - 2).alias("before"), near(x["at"] - 1).alias("last"), near(x["at"] + 1).alias("after")))
     return rows.select("doc_id", "path", F.inline(around))
 
 
+def _given(before: Column, last: Column) -> Column:
+    """Whether the one or two words before are a credential-like name with = or :."""
+    return (last.endswith("=") | last.endswith(":") | last.endswith("=>")) & (last.rlike(_ASSIGNS) | (last.isin(*_MARKS) & before.rlike(_ENDS)))
+
+
 def _value(word: Column) -> tuple[Column, Column]:
     """(name, value): what stands before = or : in the word, if it is a name, and the rest without quotes and punctuation."""
     name = F.regexp_extract(word, "^[\"']?([A-Za-z][A-Za-z_-]{2,30})[\"']?[=:]", 1)
@@ -95,7 +105,7 @@ def featured(found: DataFrame) -> DataFrame:
         "dots": share("[.]"),
         "at_sign": v.contains("@").cast("double"),
         "named": flag(F.col("name"), _NAMES),
-        "assigned": ((F.col("name") != "") | F.col("last").isin("=", ":", ":=", "=>")).cast("double"),
+        "assigned": ((F.col("name") != "") | F.col("last").isin(*_MARKS) | _given(F.col("before"), F.col("last"))).cast("double"),
         "named_before": flag(near, _NAMES),
         "placeholder": flag(F.concat_ws(" ", near, "value"), _PLACEHOLDER),
         "example_path": flag(F.col("path"), _EXAMPLES),
@@ -121,6 +131,11 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     random = F.element_at(F.array(hexes, F.concat(F.lit("AKIA"), F.substring(wide, F.lit(1), F.lit(16))), F.substring(mixed, F.lit(1), size("mix", 20, 48)), F.concat(pick("brand", "ghp_", "sk-", "xoxb-", "glpat-"), F.substring(F.translate(mixed, "+/", "ab"), F.lit(1), size("brand", 24, 40)))), (draw("random", 4) + 1).cast("int"))
     number = lambda salt, k: F.substring(F.translate(h(salt), "abcdef", ""), F.lit(1), F.lit(k))
     mark = pick("mark", "", ",", ".", "")
+    phrase = F.concat(*[F.element_at(syllables, (draw(f"p{k}", 26) + 1).cast("int")) for k in range(6)], F.substring(F.translate(h("phrase"), "0123456789", "ghijklmnop"), F.lit(1), size("phrase", 4, 12)))
+    letters = F.element_at(F.array(phrase, F.substring(F.translate(mixed, "0123456789+/", "qRsTuVwXyZab"), F.lit(1), size("letters", 12, 40)), F.concat(F.lit("AKIA"), F.substring(F.translate(wide, "234567", "EFGHIJ"), F.lit(1), F.lit(16)))), (draw("letters2", 3) + 1).cast("int"))
+    given = F.concat(pick("open", '"', "", ""), secret_name, pick("given", ":", "=", '":', ":="))
+    plain = pick("plain", "required", "incorrect", "disabled", "encrypted", "optional", "forgotten", "undefined", "protected", "accepted", "rejected", "something", "whatever")
+    fake = pick("fake2", "changeme", "your_password_here", "example-token", "xxxxxxxxxxxx", "<your-secret>", "placeholder")
     kinds = [
         # (label, word, last, before)
         (1, F.concat(secret_name, F.lit("="), quote, random, quote), word, word),
@@ -129,6 +144,13 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (1, F.concat(F.lit('"'), F.substring(h("long"), F.lit(1), F.lit(40)), F.lit('"')), F.lit("="), secret_name),
         (1, F.concat(F.lit("AKIA"), F.substring(wide, F.lit(1), F.lit(16)), mark), word, word),
         (1, F.concat(pick("brand2", "ghp_", "sk-", "xoxb-"), F.substring(F.translate(mixed, "+/", "ab"), F.lit(1), F.lit(36)), mark), word, word),
+        (1, F.concat(quote, random, quote, mark), given, word),
+        (1, F.concat(quote, letters, quote, mark), given, word),
+        (1, F.concat(quote, letters, quote, mark), pick("eq2", "=", ":", "=>", ":="), F.concat(quote, secret_name, quote)),
+        (1, F.concat(secret_name, F.lit("="), quote, letters, quote), word, word),
+        (0, F.concat(quote, fake, quote, mark), given, word),
+        (0, F.concat(plain, mark), given, word),
+        (0, F.concat(plain, mark), pick("eq3", "=", ":"), secret_name),
         (0, F.concat(word, F.lit("."), number("mail", 2), F.lit("@mail"), number("host", 1), F.lit(".example.com"), mark), word, word),
         (0, F.concat_ws(".", number("ip1", 2), number("ip2", 3), number("ip3", 2), F.concat(number("ip4", 3), mark)), word, word),
         (0, F.concat(F.substring(digits, F.lit(1), F.lit(16)), mark), word, word),
