@@ -85,6 +85,33 @@ def test_jaccard_links_through_a_template(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+def test_jaccard_same_doc_id_on_two_texts(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    found = lambda rows: sorted((r["doc_id"], r["component_id"]) for r in jaccard_join.groups(Workspace(spark, "t"), frame(spark, rows)).collect())
+    assert found([(1, a), (1, b), (2, b + " tail")]) == [(1, 1), (1, 1), (2, 1)]
+    got = jaccard_join.groups(Workspace(spark, "t"), frame(spark, [(None, a), (7, a + " end"), (None, b)])).collect()
+    assert sorted((r["n_shingles"], str(r["component_id"])) for r in got) == [(36, "7"), (36, "None"), (37, "7")]
+    kept = jaccard_join.stage(spark, frame(spark, [(0, a + " end"), (1, a), (1, b), (1, b), (3, ""), (3, ""), (None, a)]), "").collect()
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"]) for r in kept) == [(-1, a), (0, a + " end"), (1, b), (3, ""), (3, "")]
+
+
+def test_jaccard_around_one_passage(spark):
+    """Thousands of documents around one passage, few of which are similar; and near copies of a text that no row has."""
+    r = random.Random(5)
+    passage = [f"p{k}" for k in range(60)]
+    rows = [" ".join(passage + [f"x{r.randrange(10**9)}" for _ in range(r.choice([3, 12, 14, 17, 30, 200]))]) for _ in range(1500)]
+    base = [f"b{k}" for k in range(150)]
+    for _ in range(500):
+        text = list(base)
+        for k in r.sample(range(150), r.choice([1, 2, 3, 4, 4, 5, 6])):
+            text[k] = f"e{r.randrange(10**9)}"
+        rows.append(" ".join(text))
+    rows = list(enumerate(rows))
+    want = jaccard_components(rows)
+    got = jaccard_join.groups(Workspace(spark, "t"), frame(spark, rows)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
 def test_components(spark):
     edges = [(random.randrange(400), random.randrange(400)) for _ in range(300)] + [(1000, k) for k in range(500, 700)] + [(k, k + 1) for k in range(2000, 2100)] + [(5, 5), (None, 3)]
     sets = Sets({n for e in edges for n in e if n is not None})
