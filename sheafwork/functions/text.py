@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -39,8 +40,13 @@ def decode(content: Column) -> Column:
 
 def clean_folded(c: Column, join_hyphens: bool = False) -> Column:
     """Cleaning of text that is already in NFKC, in the JVM alone."""
-    for old, new in LIGATURES + SMART:
-        c = F.replace(c, F.lit(old), F.lit(new))
+    single = [(old, new) for old, new in LIGATURES + SMART if len(new) == 1]
+    c = F.translate(c, "".join(old for old, _ in single), "".join(new for _, new in single))
+    longer = [(old, new) for old, new in LIGATURES + SMART if len(new) > 1]
+    written = c
+    for old, new in longer:
+        written = F.replace(written, F.lit(old), F.lit(new))
+    c = F.when(c.rlike("[" + "".join(old for old, _ in longer) + "]"), written).otherwise(c)  # few texts need these passes
     c = F.regexp_replace(c, "\\r\\n?", "\n")
     c = F.regexp_replace(c, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]", "")
     if join_hyphens:
@@ -205,16 +211,22 @@ def cut(c: Column, offset: int, most: int) -> Column:
     return F.when(more & (back > 0) & (at > F.floor(F.length(piece) / 2)), F.substring(piece, F.lit(1), at)).otherwise(piece)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def fence_positions(lines: Column, marks: str = "```|~~~") -> Column:
+    """Positions of the lines that open or close a code fence."""
+    return F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(f"^[ \\t]*({marks})"), i)), lambda i: i.isNotNull())
+
+
 def demote_headings(c: Column, by: int) -> Column:
     """ATX headings outside code fences, ``by`` levels deeper, six at most."""
-    lines = F.split(c, "\n")
-    state = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("fenced"))
 
-    def step(s: Column, line: Column) -> Column:
-        fence = line.rlike("^[ \\t]*(```|~~~)")
-        level = F.length(F.regexp_extract(line, "^(#{1,6})[ \\t]", 1))
-        deeper = F.concat(F.repeat(F.lit("#"), F.least(F.lit(6), level + by)), F.substring(line, level + 1, F.length(line)))
-        new = F.when(~s["fenced"] & ~fence & (level > 0), deeper).otherwise(line)
-        return F.struct(F.concat(s["out"], F.array(new)).alias("out"), (s["fenced"] != fence).alias("fenced"))
+    def line(x: Column, i: Column, fences: Column) -> Column:
+        level = F.length(F.regexp_extract(x, "^(#{1,6})[ \\t]", 1))
+        deeper = F.concat(F.repeat(F.lit("#"), F.least(F.lit(6), level + by)), F.substring(x, level + 1, F.length(x)))
+        return F.when((level > 0) & (F.size(F.filter(fences, lambda f: f < i)) % 2 == 0), deeper).otherwise(x)
 
-    return F.array_join(F.aggregate(lines, state, step, lambda s: s["out"]), "\n")
+    return F.array_join(let(F.split(c, "\n"), lambda xs: let(fence_positions(xs), lambda fences: F.transform(xs, lambda x, i: line(x, i, fences)))), "\n")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import width
-from ..functions.text import word_count
+from ..functions.text import fence_positions, let, word_count
 
 
 def _count(blocks: Column, kind: str) -> Column:
@@ -68,21 +68,21 @@ def batch_summary(results: DataFrame) -> DataFrame:
 
 def line_kinds(md: Column) -> Column:
     """Array of (line, kind): front matter, fence, heading, anchor, table or text."""
-    lines = F.split(md, "\n")
-    start = F.struct(F.lit(0).alias("n"), F.lit(False).alias("front"), F.lit(False).alias("fenced"), F.array().cast("array<struct<line:string,kind:string>>").alias("out"))
-
-    def step(s: Column, line: Column) -> Column:
-        opens = (s["n"] == 0) & (line == "---")
-        closes = s["front"] & (line == "---")
-        fence = ~s["front"] & line.rlike("^[ \\t]*```")
-        kind = (
-            F.when(opens | s["front"], "fm").when(fence | s["fenced"], "fence").when(line.rlike("^#{1,6} "), "h").when(line.startswith("<!-- "), "anchor").when(line.startswith("|"), "tbl").otherwise("text")
-        )
-        return F.struct(
-            (s["n"] + 1).alias("n"), (opens | (s["front"] & ~closes)).alias("front"), (s["fenced"] != fence).alias("fenced"), F.concat(s["out"], F.array(F.struct(line.alias("line"), kind.alias("kind")))).alias("out")
-        )
-
-    return F.aggregate(lines, start, step, lambda s: s["out"])
+
+    def marked(lines: Column, last: Column, fences: Column) -> Column:
+        def one(line: Column, i: Column) -> Column:
+            fence = F.array_contains(fences, i) | (F.size(F.filter(fences, lambda f: f < i)) % 2 == 1)
+            kind = F.when(i <= last, "fm").when(fence, "fence").when(line.rlike("^#{1,6} "), "h").when(line.startswith("<!-- "), "anchor").when(line.startswith("|"), "tbl").otherwise("text")
+            return F.struct(line.alias("line"), kind.alias("kind"))
+
+        return F.transform(lines, one)
+
+    def of(lines: Column) -> Column:
+        closed = F.array_position(F.slice(lines, 2, 1 << 30), F.lit("---")).cast("int")
+        front = F.when(F.get(lines, F.lit(0)) != "---", -1).when(closed > 0, closed).otherwise(F.size(lines))  # the last line of the front matter
+        return let(front, lambda last: let(F.filter(fence_positions(lines, "```"), lambda i: i > last), lambda fences: marked(lines, last, fences)))
+
+    return let(F.split(md, "\n"), of)
 
 
 def problems(md: Column) -> Column:

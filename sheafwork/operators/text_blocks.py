@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import looks_like_heading, strip
+from ..functions.text import clean_folded, looks_like_heading, strip
 
 BULLET = "^[ \\t]*[-*•·‣▪◦][ \\t]+"
 ORDERED = "^[ \\t]*[0-9]+[.)][ \\t]+"
@@ -56,8 +56,31 @@ def as_blocks(found: Column) -> Column:
     return F.transform(found, one)
 
 
-def lift_title(found: Column) -> Column:
-    """(title, rest): a leading heading becomes the title and leaves the blocks."""
+def expand(blocks: Column, detect_headings: bool = True) -> Column:
+    """The blocks with those of kind ``plain``, whole texts in NFKC, cut into headings, lists and paragraphs.
+
+    Their headings go ``level`` levels deeper. In a nested text with a title (``ordered``)
+    a leading heading stands right under the heading of the place it is nested in.
+    """
+
+    def one(b: Column) -> Column:
+        down = F.coalesce(b["level"], F.lit(0))
+        found = as_blocks(text_blocks(clean_folded(b["text"]), detect_headings))
+        level = lambda x, i: F.when(b["ordered"] & (i == 0) & (down > 0), down + 1).otherwise(x["level"] + down)
+        placed = F.transform(found, lambda x, i: F.when(x["type"] == "heading", x.withField("level", F.least(F.lit(6), level(x, i)))).otherwise(x))
+        return F.when(b["type"] == "plain", placed).otherwise(F.array(b))
+
+    return F.when(F.exists(blocks, lambda b: b["type"] == "plain"), F.flatten(F.transform(blocks, one))).otherwise(blocks)
+
+
+def titled(blocks: Column) -> Column:
+    """Whether the blocks, not expanded yet, begin with a whole text whose first heading is the document's title."""
+    first = F.get(blocks, F.lit(0))
+    return F.coalesce((first["type"] == "plain") & first["ordered"] & (F.coalesce(first["level"], F.lit(0)) == 0), F.lit(False))
+
+
+def lift_title(found: Column, kind: str = "kind") -> Column:
+    """(title, rest): a leading heading becomes the title and leaves the blocks. kind: the field that names what a block is."""
     first = F.get(found, F.lit(0))
-    lifted = F.coalesce(first["kind"] == "heading", F.lit(False))
+    lifted = F.coalesce(first[kind] == "heading", F.lit(False))
     return F.struct(F.when(lifted, first["text"]).alias("title"), F.when(lifted, F.slice(found, 2, 1 << 30)).otherwise(found).alias("rest"))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.text import estimate_tokens, slugify_ascii, strip, tail
 from ..options import ConvertOptions
 from . import render
 
-_UNIT = "struct<text:string,path:array<string>,page:int,is_heading:boolean,kind:string>"
-
-
 def carry_page(rows: DataFrame, key: str = "doc_id", order: str = "pos", page: str = "page") -> DataFrame:
     """Gives each row the page of the last row up to it that names one."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -46,54 +48,70 @@ def units(documents: DataFrame, options: ConvertOptions | None = None) -> DataFr
     return out.where((F.col("type") != "page_break") & (strip("text") != "")).drop("type")
 
 
-def pack_numbers(sizes: Column, target: int) -> Column:
-    """Group number of each unit. sizes: array of (n, is_heading, alone); ``alone`` units form groups of their own.
-
-    A heading closes a group that is over 35 % full; a unit that would pass the
-    target closes the group before it.
-    """
-    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("group"), F.lit(False).alias("shut"), F.array().cast("array<int>").alias("out"))
-
-    def step(s: Column, u: Column) -> Column:
-        full = (u["is_heading"] & (s["size"] > target * 0.35)) | ((s["size"] > 0) & (s["size"] + u["n"] > target))
-        fresh = (s["size"] == 0) & ~s["shut"]  # nothing stands in this group yet
-        moved = ~fresh & (full | s["shut"] | u["alone"])
-        group = s["group"] + F.when(moved, 1).otherwise(0)
-        size = F.when(u["alone"], 0).when(moved, u["n"] + 2).otherwise(s["size"] + u["n"] + 2)
-        return F.struct(size.cast("int").alias("size"), group.cast("int").alias("group"), u["alone"].alias("shut"), F.concat(s["out"], F.array(group.cast("int"))).alias("out"))
-
-    return F.aggregate(sizes, start, step, lambda s: s["out"])
-
-
-def split_oversized(text: Column, kind: Column, target: int) -> Column:
+def split_oversized(text: str, kind: str, target: int) -> list[str]:
     """Pieces of a unit that is too long: whole lines, a table's first two lines on each, code fenced anew.
 
     A single line longer than the target stays whole.
     """
-    lines = F.split(text, "\n")
-    n = F.size(lines)
-    table = (kind == "table") & (n > 2) & F.get(lines, F.lit(0)).startswith("|")
-    fenced = (kind == "code") & F.get(lines, F.lit(0)).rlike("^[ \\t]*```")
-    closed = F.get(lines, n - 1).rlike("^[ \\t]*```")
-    head = F.when(table, F.slice(lines, 1, 2)).otherwise(F.array().cast("array<string>"))
-    body = F.when(table, F.slice(lines, 3, 1 << 30)).when(fenced, F.slice(lines, F.lit(2), F.when(closed, n - 2).otherwise(n - 1))).otherwise(lines)
-    head_size = F.aggregate(head, F.lit(0), lambda a, x: a + F.length(x) + 1)
-    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("count"), F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("now"))
-
-    def step(s: Column, line: Column) -> Column:
-        full = (s["count"] > 0) & (s["size"] + head_size + F.length(line) > target)
-        return F.struct(
-            (F.when(full, 0).otherwise(s["size"]) + F.length(line) + 1).cast("int").alias("size"),
-            (F.when(full, 0).otherwise(s["count"]) + 1).cast("int").alias("count"),
-            F.when(full, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]).alias("done"),
-            F.when(full, F.array(line)).otherwise(F.concat(s["now"], F.array(line))).alias("now"),
-        )
-
-    pieces = F.aggregate(body, start, step, lambda s: F.when(F.size(s["now"]) > 0, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]))
-    first = F.get(lines, F.lit(0))
-    fence = F.regexp_extract(F.ltrim(first), "^(`+)", 1)
-    made = F.transform(pieces, lambda p: F.when(fenced, F.concat(first, F.lit("\n"), F.array_join(p, "\n"), F.lit("\n"), fence)).otherwise(F.array_join(F.concat(head, p), "\n")))
-    return F.when(F.size(made) > 0, made).otherwise(F.array(text))
+    lines = text.split("\n")
+    head, body, fence = [], lines, ""
+    if kind == "table" and len(lines) > 2 and lines[0].startswith("|"):
+        head, body = lines[:2], lines[2:]
+    elif kind == "code" and (m := re.match(r"[ \t]*(`{3,})", lines[0])):
+        fence = m[1]
+        body = lines[1:-1] if len(lines) > 1 and re.match(r"[ \t]*```", lines[-1]) else lines[1:]
+    room = target - sum(len(x) + 1 for x in head)
+    begins, size = [], 0
+    for i, line in enumerate(body):
+        if not begins or size + len(line) > room:
+            begins.append(i)
+            size = 0
+        size += len(line) + 1
+    pieces = [body[i:j] for i, j in zip(begins, [*begins[1:], len(body)], strict=True)]
+    if fence:
+        return ["\n".join([lines[0], *p, fence]) for p in pieces] or [text]
+    return ["\n".join(head + p) for p in pieces] or [text]
+
+
+def packed(units: DataFrame, target: int, key: str = "doc_id") -> DataFrame:
+    """Adds ``piece`` and ``grp``: units of a document, in the order of ``pos``, packed into groups up to the target.
+
+    A heading closes a group that is over 35 % full; a unit that would pass the
+    target closes the group before it; a unit over 1.5 targets is cut into pieces,
+    each a group of its own. units: key, pos, text, kind, is_heading and any other
+    columns, which the pieces of a unit share. One sort by document and one pass over
+    it: a group's number and size are all that is kept between rows.
+    """
+    schema = StructType([*units.schema.fields, StructField("piece", LongType()), StructField("grp", LongType())])
+    names = units.columns
+    at = {c: names.index(c) for c in (key, "text", "kind", "is_heading")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, size, group, shut = object(), 0, 0, False
+        for batch in batches:
+            columns = [batch.column(at[c]).to_pylist() for c in (key, "text", "kind", "is_heading")]
+            rows, texts, pieces, groups = [], [], [], []
+            for i, (d, text, kind, heading) in enumerate(zip(*columns, strict=True)):
+                if d != doc:
+                    doc, size, group, shut = d, 0, 0, False
+                long = len(text) > target * 1.5
+                for k, piece in enumerate(split_oversized(text, kind, target) if long else [text]):
+                    full = (heading and not long and size > target * 0.35) or (size > 0 and size + len(piece) > target)
+                    if (size or shut) and (full or shut or long):
+                        group += 1
+                        size = 0
+                    size = 0 if long else size + len(piece) + 2
+                    shut = long
+                    rows.append(i)
+                    texts.append(piece)
+                    pieces.append(k)
+                    groups.append(group)
+            taken = batch.take(pa.array(rows, pa.int32()))
+            out = [pa.array(texts, taken.column(j).type) if j == at["text"] else taken.column(j) for j in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(pieces, pa.int64()), pa.array(groups, pa.int64())], [*names, "piece", "grp"])
+
+    units.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    return units.repartition(key).sortWithinPartitions(key, "pos").mapInArrow(run, schema)
 
 
 def chunks(documents: DataFrame, options: ConvertOptions | None = None) -> DataFrame:
@@ -101,19 +119,11 @@ def chunks(documents: DataFrame, options: ConvertOptions | None = None) -> DataF
 
     documents: doc_id, title, blocks, filename, sha256, format.
     """
-    o = (options or ConvertOptions()).with_(frontmatter=False)
-    target = max(200, o.chunk_size)
-    overlap = max(0, min(o.chunk_overlap, target // 2))
-    unit = units(documents, o)
-    long = F.length("text") > target * 1.5
-    pieces = F.when(long, F.transform(split_oversized(F.col("text"), F.col("kind"), target), lambda t: F.struct(t.alias("text"), F.lit(True).alias("alone")))).otherwise(F.array(F.struct(F.col("text").alias("text"), F.lit(False).alias("alone"))))
-    flat = unit.select("doc_id", "source", "pos", F.posexplode(pieces).alias("piece", "p"), "path", "page", "is_heading", "kind")
-    rows = flat.select("doc_id", "source", F.struct("pos", "piece", F.col("p.text").alias("text"), F.col("p.alone").alias("alone"), "path", "page", (F.col("is_heading") & ~F.col("p.alone")).alias("is_heading"), "kind").alias("u"))
-    # One document's units are one row from here on: the packing is sequential inside a document.
-    per_doc = rows.groupBy("doc_id").agg(F.first("source").alias("source"), F.sort_array(F.collect_list("u")).alias("us"))
-    numbers = pack_numbers(F.transform("us", lambda u: F.struct(F.length(u["text"]).alias("n"), u["is_heading"].alias("is_heading"), u["alone"].alias("alone"))), target)
-    placed = per_doc.select("doc_id", "source", F.explode(F.arrays_zip(F.col("us"), numbers.alias("grp"))).alias("z")).select("doc_id", "source", F.col("z.us").alias("u"), F.col("z.grp").alias("grp"))
-    joined = placed.groupBy("doc_id", "grp").agg(F.first("source").alias("source"), F.sort_array(F.collect_list("u")).alias("us"))
+    o = (options or ConvertOptions()).clamped().with_(frontmatter=False)
+    target, overlap = o.chunk_size, min(o.chunk_overlap, o.chunk_size // 2)
+    rows = packed(units(documents, o), target)
+    rows = rows.select("doc_id", "source", "grp", F.struct("pos", "piece", "text", "path", "page", "kind").alias("u"))
+    joined = rows.groupBy("doc_id", "grp").agg(F.first("source").alias("source"), F.sort_array(F.collect_list("u")).alias("us"))
     text = strip(F.array_join(F.transform("us", lambda u: u["text"]), "\n\n"))
     grouped = joined.select(
         "doc_id", "source", "grp", text.alias("body"), F.get("us", F.lit(0))["path"].alias("heading_path"), F.forall("us", lambda u: u["kind"] == "prose").alias("prose"),

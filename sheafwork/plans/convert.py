@@ -3,27 +3,64 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.detect import with_detection
-from ..functions.text import cut, title_from_filename
+from ..functions.text import cut, let, title_from_filename
+from ..operators import layout, text_blocks
 from ..operators.measure import block_words, headline, measure
 from ..options import ConvertOptions
-from ..sources.parse import parsed
+from ..sources.parse import Parser, parsed
 from . import chunk, render
 
 CONVERTED_BY = "sheafwork"
 
 
-def documents(files: DataFrame, options: ConvertOptions | None = None) -> DataFrame:
-    """One row per file: detection, title, blocks, assets, warnings, error. files: doc_id, filename, content, size_bytes."""
+def _structured(docs: DataFrame, o: ConvertOptions) -> DataFrame:
+    """What parsers leave to the operators: whole texts are cut into blocks, pages of lines are read, a leading heading becomes the title.
+
+    The results come out of a generator of one row, which keeps Catalyst from copying
+    these expressions into every later use of a column.
+    """
+    made = ("blocks", "title", "title_source", "warnings", "metadata")
+
+    def from_blocks(laid: Column) -> Callable[[Column], Column]:
+        def out(blocks: Column) -> Column:
+            lifted = let(F.when(text_blocks.titled(F.col("blocks")), text_blocks.lift_title(blocks, "type")), lambda x: F.struct(F.coalesce(x["rest"], blocks).alias("rest"), x["title"].alias("title")))
+            scanned = F.coalesce((laid["empty"] > 0) & (laid["empty"] >= F.greatest(F.lit(1), F.floor(F.col("layout.number") / 2))), F.lit(False))
+            warning = F.concat(laid["empty"].cast("string"), F.lit(" of "), F.col("layout.number").cast("string"), F.lit(" pages have no text; the file looks scanned."))
+            more = F.concat(F.expr("substring(metadata, 1, length(metadata) - 1)"), F.when(F.col("metadata") == "{}", "").otherwise(","), F.lit('"removed_running_text":'), F.to_json(laid["removed"]), F.lit("}"))
+            return let(
+                lifted,
+                lambda x: F.struct(
+                    x["rest"].alias("blocks"), F.coalesce("title", x["title"]).alias("title"), F.when(x["title"].isNotNull(), "heading").otherwise(F.col("title_source")).alias("title_source"),
+                    F.when(scanned, F.concat("warnings", F.array(warning))).otherwise(F.col("warnings")).alias("warnings"), F.when(laid.isNotNull(), more).otherwise(F.col("metadata")).alias("metadata"),
+                ),
+            )
+
+        return out
+
+    def of(laid: Column) -> Column:
+        blocks = F.when(laid.isNotNull(), F.concat(laid["blocks"], F.col("blocks"))).otherwise(text_blocks.expand(F.col("blocks"), o.detect_headings))
+        return let(blocks, from_blocks(laid))
+
+    found = let(F.when(F.col("layout").isNotNull(), layout.as_blocks(F.col("layout"), o.detect_headings, o.keep_page_breaks)), of)
+    return docs.select(*[c for c in docs.columns if c not in (*made, "layout")], F.inline(F.array(found)))
+
+
+def documents(files: DataFrame, options: ConvertOptions | None = None, parsers: dict[str, Parser] | None = None) -> DataFrame:
+    """One row per file: detection, title, blocks, assets, warnings, error. files: doc_id, filename, content, size_bytes.
+
+    parsers: further parsers by format or extension, before the registered ones.
+    """
     o = options or ConvertOptions()
     rows = with_detection(files.withColumn("sha256", F.sha2("content", 256)))
-    out = parsed(rows, o)
+    out = _structured(parsed(rows, o, parsers), o)
     named = title_from_filename(F.col("filename"))
     # Markdown keeps its own headings; every other document has a title at least by its name.
     out = out.withColumn("title_source", F.when(F.col("error").isNotNull(), F.lit(None)).otherwise(F.coalesce("title_source", F.lit("filename"))))
@@ -35,9 +72,11 @@ def documents(files: DataFrame, options: ConvertOptions | None = None) -> DataFr
 def _yaml(facts: pd.Series) -> pd.Series:
     import yaml
 
+    dumper = getattr(yaml, "CSafeDumper", yaml.SafeDumper)  # the one in C writes the same text
+
     def one(text: str) -> str:
         data = {k: v for k, v in json.loads(text).items() if k not in ("document", "assets", "warnings", "converted_at") or v}
-        return "---\n" + yaml.safe_dump(data, sort_keys=False, allow_unicode=True, width=100).strip() + "\n---"
+        return "---\n" + yaml.dump(data, Dumper=dumper, sort_keys=False, allow_unicode=True, width=100).strip() + "\n---"
 
     return facts.map(one)
 

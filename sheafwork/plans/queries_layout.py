@@ -23,7 +23,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = base.select(
         "doc_id", cast(F.floor(F.col("i") / 4) + 1).alias("page"), cast(F.col("i") % 4 + 1).alias("line_no"),
         F.when(F.col("i") % 7 == 0, 18.0).when(F.col("i") % 7 == 3, 14.0).otherwise(11.0).alias("size"), (F.col("i") % 5 == 0).alias("bold"),
-        F.when(F.col("i") % 6 == 4, F.concat(F.lit("- "), F.substring("x", 1, 30))).when(F.col("i") % 6 == 5, F.concat(F.lit("2) "), F.substring("x", 1, 30))).otherwise(F.substring("x", 1, 100)).alias("text"),
+        F.when(F.col("i") % 6 == 4, F.concat(F.lit("- "), "x")).when(F.col("i") % 6 == 5, F.concat(F.lit("2) "), "x")).otherwise(F.col("x")).alias("text"),
     )
     pages = body.select("doc_id", "page").distinct()
     top = pages.where("doc_id % 3 <> 0 and page % 5 <> 4").select("doc_id", "page", F.lit(0).cast("long").alias("line_no"), F.lit(8.0).alias("size"), F.lit(False).alias("bold"), F.concat(F.lit("Annual  Report "), F.col("page").cast("string")).alias("text"))
@@ -34,7 +34,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINES = """(
     with b as (select doc_id, unnest(generate_series(0, len(l) - 1)) as i, unnest(l) as x from (select doc_id, string_split(text, chr(10)) as l from documents)),
     body as (select doc_id, i // 4 + 1 as page, i % 4 + 1 as line_no, cast(case i % 7 when 0 then 18.0 when 3 then 14.0 else 11.0 end as double) as size, i % 5 = 0 as bold,
-        case i % 6 when 4 then '- ' || substr(x, 1, 30) when 5 then '2) ' || substr(x, 1, 30) else substr(x, 1, 100) end as text from b),
+        case i % 6 when 4 then '- ' || x when 5 then '2) ' || x else x end as text from b),
     pages as (select distinct doc_id, page from body)
     select * from body union all select doc_id, page, 0, 8.0, false, 'Annual  Report ' || page from pages where doc_id % 3 <> 0 and page % 5 <> 4 union all select doc_id, page, 9, 8.0, false, 'Page ' || page from pages)"""
 
@@ -60,15 +60,29 @@ _PAGE_NUMBER = "(?i)^(page[ \\t]+)?[0-9]{1,4}([ \\t]*(of|/)[ \\t]*[0-9]{1,4})?$"
 _KEPT = f"""(select l.* from (select *, {_key_sql('text')} as key from {_LINES}) l left join {_FURNITURE} f on l.doc_id = f.doc_id and l.key = f.key where f.key is null and {strip('text')} <> '' and not regexp_matches({strip('text')}, '{_PAGE_NUMBER}'))"""
 
 
+def _rows(spark, d) -> DataFrame:
+    """(doc_id, lines): the lines of a document in its row."""
+    return L.by_document(_lines(spark, d).withColumn("y", F.col("line_no") * 10.0))
+
+
+def _keys(lines: str = "lines"):
+    return F.transform(L.running_furniture(F.col(lines)), lambda r: r["key"])
+
+
 def _kept(spark, d):
-    lines = _lines(spark, d)
-    return L.drop_furniture(lines, L.running_furniture(lines))
+    rows = _rows(spark, d).withColumn("kept", L.without_furniture(F.col("lines"), _keys()))
+    return rows.select("doc_id", F.inline("kept")).select("doc_id", F.col("page").cast("long").alias("page"), F.col("line_no").cast("long").alias("line_no"), "size", "text")
 
 
 def _levelled(spark, d):
-    lines = L.infer(_lines(spark, d)).where(~F.col("furniture") & (T.strip(F.col("text")) != "") & ~T.is_page_number(F.col("text")))
-    level = L.level_of(F.col("size"), F.col("body"), F.col("size_level"), F.lit(None).cast("int"), F.col("bold"), F.col("text"))
-    return lines.withColumn("level", level.cast("long"))
+    rows = _rows(spark, d).withColumn("kept", L.without_furniture(F.col("lines"), _keys())).withColumn("body", L.body_size(F.col("lines")))
+    rows = rows.withColumn("sizes", L.heading_sizes(F.col("lines"), F.col("body")))
+    return rows.select("doc_id", L.levelled(F.col("kept"), F.col("body"), F.col("sizes")).alias("lines"))
+
+
+def _levels(spark, d):
+    rows = _levelled(spark, d).select("doc_id", F.inline("lines")).where("level is not null")
+    return rows.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("page", "line_no", "level")])
 
 
 _LEVELLED = f"""(select k.*, b.body, cast(case when s.level is not null and k.size > b.body * 1.12 then s.level when k.bold and k.size >= b.body and {_heading_sql('k.text', 10)} then 3 end as bigint) as level
@@ -76,7 +90,10 @@ _LEVELLED = f"""(select k.*, b.body, cast(case when s.level is not null and k.si
 
 
 def _reflowed(spark, d):
-    return L.reflow(_levelled(spark, d))
+    runs = _levelled(spark, d).select("doc_id", F.inline(L.reflow(F.col("lines"))))
+    seq = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("line_no"))
+    text = F.when(F.col("kind").isin("list", "ordered_list"), F.array_join("texts", "\n")).otherwise(F.array_join("texts", " "))
+    return runs.select("doc_id", F.col("page").cast("long").alias("page"), seq.cast("long").alias("seq"), "kind", F.col("level").cast("long").alias("level"), text.alias("text"))
 
 
 _BULLET, _NUMBERED, _END = "^[ \\t]*[-*•·‣▪◦●○][ \\t]+", "^[ \\t]*[0-9]{1,2}[.)][ \\t]+", "[.!?:;\"”]$"
@@ -85,7 +102,7 @@ _REFLOWED = f"""
     s as (select *, lag(kind) over w as bk, lag(text) over w as bt from k window w as (partition by doc_id, page order by line_no)),
     g as (select *, cast(sum(case when bk is null or bk <> kind or kind = 'heading' or (kind = 'paragraph' and regexp_matches(bt, '{_END}')) then 1 else 0 end) over (partition by doc_id, page order by line_no rows unbounded preceding) as bigint) as seq from s),
     t as (select *, case kind when 'list' then {strip(f"regexp_replace(text, '{_BULLET}', '')")} when 'ordered_list' then {strip(f"regexp_replace(text, '{_NUMBERED}', '')")} else text end as t from g)
-    select doc_id, page, seq, kind, max(level) as level, case when kind in ('list', 'ordered_list') then string_agg(t, chr(10) order by line_no) else string_agg(t, ' ' order by line_no) end as text from t group by doc_id, page, seq, kind"""
+    select doc_id, page, seq, kind, case when kind = 'heading' then max(level) end as level, case when kind in ('list', 'ordered_list') then string_agg(t, chr(10) order by line_no) else string_agg(t, ' ' order by line_no) end as text from t group by doc_id, page, seq, kind"""
 
 
 def _outlined(spark, d):
@@ -121,9 +138,10 @@ _INTERLEAVED = f"""select doc_id, page, row_number() over (partition by doc_id,
 
 
 def _scanned(spark, d):
-    lines = _lines(spark, d)
-    pages = lines.select("doc_id", "page").distinct()
-    return L.scanned(L.drop_furniture(lines.where("line_no in (0, 9) or page % 2 = doc_id % 2"), L.running_furniture(lines)), pages)
+    shown = lambda x: x["line_no"].isin(0, 9) | (x["page"] % 2 == F.col("doc_id") % 2)
+    rows = _rows(spark, d).withColumn("kept", L.without_furniture(F.filter("lines", shown), _keys()))
+    pages = rows.select("doc_id", F.explode(F.array_distinct(F.transform("lines", lambda x: x["page"]))).alias("page"))
+    return L.scanned(rows.select("doc_id", F.inline("kept")), pages)
 
 
 _SCANNED = f"""with k as (select distinct doc_id, page from {_KEPT} where line_no in (0, 9) or page % 2 = doc_id % 2), p as (select distinct doc_id, page from {_LINES}),
@@ -137,10 +155,10 @@ def _sections(spark, d):
     """Lines as blocks: every fifth is a heading of a level from 1 to 4, every seventh a page break."""
     rows = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     i = F.col("pos")
-    return rows.select("doc_id", i.cast("long").alias("pos"), F.substring("text", 1, 400).alias("text"), F.when(i % 5 == 0, (i * 7 + F.col("doc_id")) % 4 + 1).cast("int").alias("level"), F.when(i % 7 == 3, i).cast("int").alias("page"))
+    return rows.select("doc_id", i.cast("long").alias("pos"), "text", F.when(i % 5 == 0, (i * 7 + F.col("doc_id")) % 4 + 1).cast("int").alias("level"), F.when(i % 7 == 3, i).cast("int").alias("page"))
 
 
-_SECTIONS = """(select doc_id, i as pos, substr(x, 1, 400) as text, case when i % 5 = 0 then cast((i * 7 + doc_id) % 4 + 1 as integer) end as level, case when i % 7 = 3 then cast(i as integer) end as page
+_SECTIONS = """(select doc_id, i as pos, x as text, case when i % 5 = 0 then cast((i * 7 + doc_id) % 4 + 1 as integer) end as level, case when i % 7 = 3 then cast(i as integer) end as page
     from (select doc_id, unnest(generate_series(0, len(l) - 1)) as i, unnest(l) as x from (select doc_id, string_split(text, chr(10)) as l from documents)))"""
 
 
@@ -156,25 +174,24 @@ def _paths_sql() -> str:
 
 
 def _packed(spark, d):
-    rows = _sections(spark, d).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.length("text").alias("n"), F.col("level").isNotNull().alias("is_heading"), (F.length("text") > 399).alias("alone")))).alias("u"))
-    numbers = C.pack_numbers(F.transform("u", lambda x: F.struct(x["n"].alias("n"), x["is_heading"].alias("is_heading"), x["alone"].alias("alone"))), 500)
-    return rows.select("doc_id", F.posexplode(numbers).alias("pos", "grp")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("grp").cast("long").alias("grp"))
+    units = _sections(spark, d).select("doc_id", "pos", "text", F.lit("prose").alias("kind"), F.col("level").isNotNull().alias("is_heading"))
+    return C.packed(units, 500).select("doc_id", "pos", "grp")
 
 
 _PACKED = f"""
-    with recursive u as (select doc_id, pos, cast(length(text) as bigint) as n, level is not null as h, length(text) > 399 as alone from {_SECTIONS}),
+    with recursive u as (select doc_id, pos, cast(length(text) as bigint) as n, level is not null as h, length(text) > 750 as alone from {_SECTIONS}),
     r as (
         select doc_id, pos, case when alone then 0 else n + 2 end as size, cast(0 as bigint) as grp, alone as shut from u where pos = 0
         union all
         select u.doc_id, u.pos, case when u.alone then 0 when moved then u.n + 2 else r_size + u.n + 2 end, r_grp + case when moved then 1 else 0 end, u.alone
-        from (select u.*, r.size as r_size, r.grp as r_grp, not (r.size = 0 and not r.shut) and ((u.h and r.size > 175) or (r.size > 0 and r.size + u.n > 500) or r.shut or u.alone) as moved from r join u on u.doc_id = r.doc_id and u.pos = r.pos + 1) u)
+        from (select u.*, r.size as r_size, r.grp as r_grp, not (r.size = 0 and not r.shut) and ((u.h and not u.alone and r.size > 175) or (r.size > 0 and r.size + u.n > 500) or r.shut or u.alone) as moved from r join u on u.doc_id = r.doc_id and u.pos = r.pos + 1) u)
     select doc_id, pos, grp from r"""
 
 
 def _split_pieces(spark, d):
     table = F.concat(F.lit("| a |\n| --- |\n| "), F.replace("text", F.lit("\n"), F.lit(" |\n| ")), F.lit(" |"))
-    pieces = C.split_oversized(table, F.lit("table"), 600)
-    return read(spark, d, "documents").select("doc_id", F.posexplode(pieces).alias("piece", "text")).select("doc_id", F.col("piece").cast("long").alias("piece"), F.sha2("text", 256).alias("digest"))
+    units = read(spark, d, "documents").select("doc_id", F.lit(0).alias("pos"), table.alias("text"), F.lit("table").alias("kind"), F.lit(False).alias("is_heading"))
+    return C.packed(units, 600).select("doc_id", "piece", F.sha2("text", 256).alias("digest"))
 
 
 _SPLIT = """
@@ -182,8 +199,9 @@ _SPLIT = """
     r as (
         select doc_id, i, x, cast(0 as bigint) as piece, cast(length(x) + 1 as bigint) as size from l where i = 0
         union all
-        select l.doc_id, l.i, l.x, r.piece + case when r.size + 14 + length(l.x) > 600 then 1 else 0 end, case when r.size + 14 + length(l.x) > 600 then 0 else r.size end + length(l.x) + 1 from r join l on l.doc_id = r.doc_id and l.i = r.i + 1)
-    select doc_id, piece, sha256('| a |' || chr(10) || '| --- |' || chr(10) || string_agg(x, chr(10) order by i)) as digest from r group by doc_id, piece"""
+        select l.doc_id, l.i, l.x, r.piece + case when r.size + 14 + length(l.x) > 600 then 1 else 0 end, case when r.size + 14 + length(l.x) > 600 then 0 else r.size end + length(l.x) + 1 from r join l on l.doc_id = r.doc_id and l.i = r.i + 1),
+    t as (select doc_id, sum(length(x) + 1) + 13 > 900 as long from l group by doc_id)
+    select doc_id, case when long then piece else 0 end as piece, sha256('| a |' || chr(10) || '| --- |' || chr(10) || string_agg(x, chr(10) order by i)) as digest from r join t using (doc_id) group by all"""
 
 
 def _overlap(spark, d):
@@ -257,11 +275,13 @@ def _compared_sql() -> str:
 
 
 def _dirty_md():
+    """A Markdown text around all lines of the document, with a fault here and there."""
+    body = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(T.escape_line(x), "[ \\t]+$", "")), "\n")
     fence = F.when(F.col("doc_id") % 2 == 0, F.lit("```\ncode  \n```\n")).otherwise(F.lit("```\nopen\n"))
     table = F.when(F.col("doc_id") % 3 == 0, F.lit("| a | b |\n| --- |\n")).otherwise(F.lit("| a | b |\n| --- | --- |\n| x \\| y | z |\n"))
     head = F.when(F.col("doc_id") % 5 == 0, F.lit("####### seven\n")).otherwise(F.lit("## two\n"))
     blank = F.when(F.col("doc_id") % 7 == 0, F.lit("text  \n")).otherwise(F.lit("text\n"))
-    return F.concat(F.lit("---\ntitle: x \n---\n"), head, table, blank, F.when(F.col("doc_id") % 11 == 0, F.lit("\x07\n")).otherwise(F.lit("")), fence)
+    return F.concat(F.lit("---\ntitle: x \n---\n"), head, table, blank, F.when(F.col("doc_id") % 11 == 0, F.lit("\x07\n")).otherwise(F.lit("")), body, F.lit("\n"), fence)
 
 
 def _validated(spark, d):
@@ -277,8 +297,8 @@ def _kinds(spark, d):
 
 
 _KINDS = """with l as (select doc_id, unnest(['fm', 'h', 'tbl', 'text', 'fence']) as kind, unnest([3, case when doc_id % 5 = 0 then 0 else 1 end, case when doc_id % 3 = 0 then 2 else 3 end,
-        1 + case when doc_id % 5 = 0 then 1 else 0 end + case when doc_id % 11 = 0 then 1 else 0 end + case when doc_id % 2 = 0 then 1 else 0 end, case when doc_id % 2 = 0 then 3 else 3 end]) as n from documents)
-    select doc_id, kind, cast(n as bigint) as n from l where n > 0"""
+        1 + case when doc_id % 5 = 0 then 1 else 0 end + case when doc_id % 11 = 0 then 1 else 0 end + case when doc_id % 2 = 0 then 1 else 0 end, case when doc_id % 2 = 0 then 3 else 3 end]) as n, len(string_split(text, chr(10))) as lines from documents)
+    select doc_id, kind, cast(case kind when 'text' then n + lines else n end as bigint) as n from l where n > 0"""
 
 
 def _excerpts(spark, d):
@@ -308,11 +328,11 @@ _SESSIONS = """with o as (select user_id, ts, case when ts - lag(ts) over (parti
     select user_id, min(ts) as session_start, max(ts) + interval 30 minutes as session_end, count(*) as n from g group by user_id, k"""
 
 QUERIES = {
-    "body_size_mode": (lambda s, d: L.body_size(_lines(s, d)), f"select * from {_BODY}"),
-    "heading_size_rank": (lambda s, d: L.heading_levels(_lines(s, d), L.body_size(_lines(s, d))).withColumn("level", F.col("level").cast("long")), f"select * from {_LEVELS}"),
-    "running_furniture": (lambda s, d: L.running_furniture(_lines(s, d)), f"select * from {_FURNITURE}"),
+    "body_size_mode": (lambda s, d: _rows(s, d).select("doc_id", L.body_size(F.col("lines")).alias("body")), f"select * from {_BODY}"),
+    "heading_size_rank": (lambda s, d: _rows(s, d).select("doc_id", F.posexplode(L.heading_sizes(F.col("lines"), L.body_size(F.col("lines")))).alias("k", "size")).select("doc_id", "size", (F.col("k") + 1).cast("long").alias("level")), f"select * from {_LEVELS}"),
+    "running_furniture": (lambda s, d: _rows(s, d).select("doc_id", F.inline(L.running_furniture(F.col("lines")))), f"select * from {_FURNITURE}"),
     "drop_furniture": (lambda s, d: _kept(s, d).select("doc_id", "page", "line_no"), f"select doc_id, page, line_no from {_KEPT}"),
-    "heading_level": (lambda s, d: _levelled(s, d).where("level is not null").select("doc_id", "page", "line_no", "level"), f"select doc_id, page, line_no, level from {_LEVELLED} where level is not null"),
+    "heading_level": (_levels, f"select doc_id, page, line_no, level from {_LEVELLED} where level is not null"),
     "outline_join": (_outlined, _OUTLINED),
     "box_anti_join": (_boxed, _BOXED),
     "table_interleave": (_interleaved, _INTERLEAVED),

@@ -113,12 +113,12 @@ _REGIONS_SQL = """with r as (select c_nationkey, c_custkey, c_custkey % 11 = 0 a
 
 
 def _items(c):
-    return F.transform(F.split(c, "\n"), lambda x, i: F.struct((i % 3).cast("int").alias("depth"), F.concat(F.lit(" "), F.substring(x, 1, 50)).alias("text"), F.when(i % 4 == 1, True).when(i % 4 == 2, False).alias("checked")))
+    return F.transform(F.split(c, "\n"), lambda x, i: F.struct((i % 3).cast("int").alias("depth"), F.concat(F.lit(" "), x).alias("text"), F.when(i % 4 == 1, True).when(i % 4 == 2, False).alias("checked")))
 
 
 _LIST_SQL = f"""with l as (select doc_id, unnest(generate_series(0, len(l) - 1)) as i, unnest(l) as x from (select doc_id, string_split(text, chr(10)) as l from documents)),
     n as (select *, sum(case when i % 3 = 0 then 1 else 0 end) over (partition by doc_id order by i) as k from l)
-    select doc_id, string_agg(rtrim(repeat('  ', i % 3) || case when i % 3 = 0 and doc_id % 2 = 0 then cast(k as bigint) || '.' else '-' end || ' ' || case i % 4 when 1 then '[x] ' when 2 then '[ ] ' else '' end || {strip("' ' || substr(x, 1, 50)")}, ' '), chr(10) order by i) as md from n group by doc_id"""
+    select doc_id, string_agg(rtrim(repeat('  ', i % 3) || case when i % 3 = 0 and doc_id % 2 = 0 then cast(k as bigint) || '.' else '-' end || ' ' || case i % 4 when 1 then '[x] ' when 2 then '[ ] ' else '' end || {strip("' ' || x")}, ' '), chr(10) order by i) as md from n group by doc_id"""
 
 
 def _docs(spark: SparkSession, sf_dir: str, **made):
@@ -151,21 +151,20 @@ def _kv(spark, d):
 
 def _shaped():
     lines = F.split(F.regexp_replace("text", "[^\\x00-\\x7F]", "e"), "\n")
-    short = lambda x: F.substring(x, 1, 40)
     made = F.transform(
         lines,
-        lambda x, i: F.when(i % 6 == 0, F.upper(short(x)))
-        .when(i % 6 == 1, F.concat(F.lit("- "), short(x), F.lit("\n  * "), short(x)))
-        .when(i % 6 == 2, F.concat(F.lit("1. "), short(x), F.lit("\n2) "), short(x)))
-        .when(i % 6 == 3, F.concat(short(x), F.lit("\n====")))
-        .when(i % 6 == 4, F.concat(short(x), F.lit("  \n---- ")))
+        lambda x, i: F.when(i % 6 == 0, F.upper(x))
+        .when(i % 6 == 1, F.concat(F.lit("- "), x, F.lit("\n  * "), x))
+        .when(i % 6 == 2, F.concat(F.lit("1. "), x, F.lit("\n2) "), x))
+        .when(i % 6 == 3, F.concat(x, F.lit("\n====")))
+        .when(i % 6 == 4, F.concat(x, F.lit("  \n---- ")))
         .otherwise(F.concat(x, F.lit("\n- not a list"))),
     )
     return F.array_join(made, "\n \n\n")
 
 
-_SHAPED_SQL = """array_to_string(list_transform(string_split(regexp_replace(text, '[^\\x00-\\x7F]', 'e', 'g'), chr(10)), lambda x, i: case (i - 1) % 6 when 0 then upper(substr(x, 1, 40)) when 1 then '- ' || substr(x, 1, 40) || chr(10) || '  * ' || substr(x, 1, 40)
-    when 2 then '1. ' || substr(x, 1, 40) || chr(10) || '2) ' || substr(x, 1, 40) when 3 then substr(x, 1, 40) || chr(10) || '====' when 4 then substr(x, 1, 40) || '  ' || chr(10) || '---- ' else x || chr(10) || '- not a list' end), chr(10) || ' ' || chr(10) || chr(10))"""
+_SHAPED_SQL = """array_to_string(list_transform(string_split(regexp_replace(text, '[^\\x00-\\x7F]', 'e', 'g'), chr(10)), lambda x, i: case (i - 1) % 6 when 0 then upper(x) when 1 then '- ' || x || chr(10) || '  * ' || x
+    when 2 then '1. ' || x || chr(10) || '2) ' || x when 3 then x || chr(10) || '====' when 4 then x || '  ' || chr(10) || '---- ' else x || chr(10) || '- not a list' end), chr(10) || ' ' || chr(10) || chr(10))"""
 
 
 def _blocks(spark, d):
@@ -292,7 +291,7 @@ QUERIES = {
     "csv_table": (lambda s, d: _split(s, d).select("c_nationkey", TB.csv_table(F.col("header"), F.col("body")).alias("md")), _CSV_SQL),
     "number_display": (_numbers, _numbers_sql()),
     "sheet_regions": (_regions, _REGIONS_SQL),
-    "md_heading": (lambda s, d: _docs(s, d, md=render.heading(F.substring("text", 1, 80), (F.col("doc_id") % 9).cast("int"), 1)), f"select doc_id, repeat('#', cast(greatest(1, least(6, doc_id % 9 + 1)) as integer)) || ' ' || {strip(f'''regexp_replace(substr(text, 1, 80), '{BLANK}+', ' ', 'g')''')} as md from documents"),
+    "md_heading": (lambda s, d: _docs(s, d, md=render.heading(F.col("text"), (F.col("doc_id") % 9).cast("int"), 1)), f"select doc_id, repeat('#', cast(greatest(1, least(6, doc_id % 9 + 1)) as integer)) || ' ' || {strip(f'''regexp_replace(text, '{BLANK}+', ' ', 'g')''')} as md from documents"),
     "md_list": (lambda s, d: _docs(s, d, md=render.list_lines(_items("text"), F.col("doc_id") % 2 == 0)), _LIST_SQL),
     "md_quote": (lambda s, d: _docs(s, d, digest=F.sha2(render.quote(F.replace("text", F.lit("\n"), F.lit("\n\n"))), 256)), f"select doc_id, sha256(array_to_string(list_transform(string_split({strip('replace(text, chr(10), chr(10) || chr(10))')}, chr(10)), lambda x: case when x = '' then '>' else '> ' || x end), chr(10))) as digest from documents"),
     "md_code_fence": (_code, "select doc_id, sha256(f || lang || chr(10) || b || chr(10) || f) as digest from (select *, repeat('`', cast(greatest(3, doc_id % 6 + 1) as integer)) as f, text || chr(10) || repeat('`', cast(doc_id % 6 as integer)) as b from documents)"),

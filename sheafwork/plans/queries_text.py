@@ -88,14 +88,13 @@ _LINES_SQL = "(select doc_id, unnest(generate_series(0, len(l) - 1)) as line_no,
 
 
 def _headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = F.substring(F.col("line"), 1, 60)
-    x = F.when(F.col("line_no") % 3 == 0, F.upper(short)).when(F.col("line_no") % 3 == 1, F.concat(F.lit("1.2 "), F.substring("line", 1, 30))).otherwise(short)
-    return _lines(spark, sf_dir).where(F.regexp_replace("line", "[\\x00-\\x7F]", "") == "").select("doc_id", "line_no", T.looks_like_heading(x).alias("heading"))
+    line = F.col("line")
+    x = F.when(F.col("line_no") % 3 == 0, F.translate(line, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(F.col("line_no") % 3 == 1, F.concat(F.lit("1.2 "), line)).otherwise(line)
+    return _lines(spark, sf_dir).select("doc_id", "line_no", T.looks_like_heading(x).alias("heading"))
 
 
 _HEADINGS_SQL = f"""select doc_id, line_no, {_heading_sql('x')} as heading from (
-    select doc_id, line_no, case line_no % 3 when 0 then upper(substr(line, 1, 60)) when 1 then '1.2 ' || substr(line, 1, 30) else substr(line, 1, 60) end as x
-    from {_LINES_SQL} where regexp_replace(line, '[\\x00-\\x7F]', '', 'g') = '')"""
+    select doc_id, line_no, case line_no % 3 when 0 then translate(line, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') when 1 then '1.2 ' || line else line end as x from {_LINES_SQL})"""
 
 _NAMES = ("report.PDF", "a/b/data.tsv", ".env", "Dockerfile", "src/main.py", "notes", "x.tar.gz", "photo.JPEG", "page.xhtml", "book.epub", "CMakeLists.txt", "log.txt", "feed.rss", "n.ipynb", "query.sql", "w.unknown")
 
@@ -216,11 +215,11 @@ _STEMS_SQL = """
 
 _long = lambda f: (lambda: f().cast("long"))
 _digest = lambda f: (lambda: F.sha2(f(), 256))
-_FILE = "'Dir ' || doc_id || '/../my-report_' || substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 30) || '.tar.gz'"
+_FILE = "'Dir ' || doc_id || '/../my-report_' || regexp_replace(text, '[^ -~]', '', 'g') || '.tar.gz'"
 
 
 def _file():
-    return F.concat(F.lit("Dir "), F.col("doc_id").cast("string"), F.lit("/../my-report_"), F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 30), F.lit(".tar.gz"))
+    return F.concat(F.lit("Dir "), F.col("doc_id").cast("string"), F.lit("/../my-report_"), F.regexp_replace("text", "[^ -~]", ""), F.lit(".tar.gz"))
 
 
 _STEM = strip(f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({_FILE}, '^.*/', ''), '\\.[^.]*$', ''), '[_-]+', ' ', 'g'), '{BLANK}+', ' ', 'g')")
@@ -235,12 +234,12 @@ def _window():
 QUERIES = {
     "clean_ascii": (over("documents", "doc_id", digest=_digest(lambda: T.clean_folded(_mess())), n=_long(lambda: F.length(T.clean_folded(_mess())))), f"select doc_id, sha256({_clean_sql(_MESS_SQL)}) as digest, cast(length({_clean_sql(_MESS_SQL)}) as bigint) as n from documents"),
     "clean_unicode": (over("documents", "doc_id", digest=_digest(lambda: T.clean(_mess()))), None),
-    "slugify_unicode": (over("documents", "doc_id", slug=lambda: T.slugify(F.substring("text", 1, 90))), None),
+    "slugify_unicode": (over("documents", "doc_id", slug=lambda: T.slugify(F.col("text"))), None),
     "decode_bytes": (over("documents", "doc_id", same=lambda: T.decode(F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))) == F.col("text"), latin=lambda: F.length(T.decode(F.unhex(F.lit("E92E")))).cast("long")), "select doc_id, true as same, cast(2 as bigint) as latin from documents"),
     "escape_md": (over("documents", "doc_id", digest=_digest(lambda: T.escape_md(F.concat("text", F.lit("*a* _b_ [c] <d> `e`"))))), "select doc_id, sha256(regexp_replace(text || '*a* _b_ [c] <d> `e`', '([\\\\`*_{}\\[\\]<>|])', '\\\\\\1', 'g')) as digest from documents"),
     "escape_cell": (over("documents", "doc_id", digest=_digest(lambda: T.escape_cell(F.concat(F.lit(" "), F.col("text"), F.lit("|x\\y\t"))))), f"select doc_id, sha256({strip('''replace(replace(replace(' ' || text || '|x' || chr(92) || 'y' || chr(9), chr(92), chr(92) || chr(92)), '|', chr(92) || '|'), chr(10), '<br>')''')}) as digest from documents"),
     "escape_block_start": (over("documents", "doc_id", digest=_digest(lambda: T.escape_block_start(_marked()))), f"select doc_id, sha256({_escape_sql(_MARKED_SQL)}) as digest from documents"),
-    "slugify": (over("documents", "doc_id", slug=lambda: T.slugify_ascii(F.substring("text", 1, 90))), f"select doc_id, {_slug_sql('substr(text, 1, 90)')} as slug from documents"),
+    "slugify": (over("documents", "doc_id", slug=lambda: T.slugify_ascii(F.col("text"))), f"select doc_id, {_slug_sql('text')} as slug from documents"),
     "title_from_filename": (over("documents", "doc_id", title=lambda: T.title_from_filename(_file())), f"select doc_id, case when s = '' then 'Untitled' else upper(substr(s, 1, 1)) || substr(s, 2) end as title from (select doc_id, {_STEM} as s from documents)"),
     "safe_name": (over("documents", "doc_id", name=lambda: T.safe_name(_file())), f"select doc_id, case when s = '' then 'file' else s end as name from (select doc_id, {_SAFE} as s from documents)"),
     "human_bytes": (

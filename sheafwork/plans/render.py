@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tables
-from ..functions.text import escape_block_start, inline_safe, longest_backtick_run, strip
+from ..functions.text import escape_block_start, inline_safe, let, longest_backtick_run, strip
 from ..options import ConvertOptions
 
 #: Opens the comment that marks a page in the output.
@@ -56,13 +56,14 @@ def key_values(kv: Column) -> Column:
 def list_lines(items: Column, ordered: Column) -> Column:
     """Items in reading order with their depth; the numbers of an ordered list count its outermost items."""
 
-    def line(x: Column, i: Column) -> Column:
-        number = F.size(F.filter(F.slice(items, F.lit(1), i + 1), lambda y: y["depth"] == 0))
+    def line(x: Column, i: Column, outer: Column) -> Column:
+        number = F.array_position(outer, i)
         mark = F.when(F.coalesce(ordered, F.lit(False)) & (x["depth"] == 0), F.concat(number.cast("string"), F.lit("."))).otherwise(F.lit("-"))
         box = F.when(x["checked"].isNull(), "").when(x["checked"], "[x] ").otherwise("[ ] ")
         return F.rtrim(F.concat(F.repeat(F.lit("  "), x["depth"]), mark, F.lit(" "), box, strip(F.replace(x["text"], F.lit("\n"), F.lit(" ")))))
 
-    return F.array_join(F.transform(items, line), "\n")
+    outer = F.filter(F.transform(items, lambda x, i: F.when(x["depth"] == 0, i)), lambda i: i.isNotNull())
+    return F.array_join(let(outer, lambda at: F.transform(items, lambda x, i: line(x, i, at))), "\n")
 
 
 def _wrapped(text: Column, width: int) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import IGNORED_NAMES, IGNORED_PREFIXES
 from ..options import Limits
 from .mail import size
-from .model import SourceError, block, document, heading, key_values, paragraph
+from .model import SourceError, block, document
 
 
 def guards(members: DataFrame, limits: Limits | None = None, key: str = "archive_id") -> DataFrame:
@@ -62,29 +62,31 @@ def parse_archive(data: bytes, name: str, options: Any, depth: int = 0) -> dict[
     if depth >= options.limits.max_recursion_depth:
         raise SourceError("limit_exceeded", f"Archives are nested deeper than {options.limits.max_recursion_depth}.")
     found, total, warnings = members(data, options.limits)
-    out: list[dict[str, Any]] = [key_values([("Files", str(len(found))), ("Unpacked", size(total))])]
+    out: list[dict[str, Any]] = [block("key_values", kv=[("Files", str(len(found))), ("Unpacked", size(total))])]
     assets: list[dict[str, Any]] = []
     converted = 0
     for member, content, error in found:
-        out += [block("rule"), heading(member, 2)]
+        out += [block("rule"), block("heading", member, level=2)]
         if content is None:
             warnings.append(f"{member}: {error}")
             continue
         kind = sniff(content, member)
         if kind in ("binary", "image") and not options.ocr:
-            out.append(paragraph(f"*{kind.capitalize()} member of {size(len(content))}; not converted.*"))
+            out.append(block("paragraph", f"*{kind.capitalize()} member of {size(len(content))}; not converted.*"))
             continue
         child = parse_one(content, member, kind, options, depth + 1)
         if child["error"]:
-            out.append(paragraph(f"*Skipped: {child['error']['message']}*"))
+            out.append(block("paragraph", f"*Skipped: {child['error']['message']}*"))
             warnings.append(f"{member}: {child['error']['message']}")
             continue
         converted += 1
         if child["title"] and child["title_source"] != "filename" and not child["passthrough"]:
-            out.append(heading(child["title"], 3))
+            out.append(block("heading", child["title"], level=3))
         for b in child["blocks"]:
             if b["type"] == "heading":
                 b["level"] = min(6, (b["level"] or 1) + 2)
+            elif b["type"] == "plain":
+                b["level"] = (b["level"] or 0) + 2
             elif b["type"] == "raw":
                 b["text"] = _deeper(b["text"] or "", 2)
             out.append(b)

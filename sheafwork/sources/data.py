@@ -8,7 +8,7 @@ import io
 import json
 from typing import Any
 
-from .model import asset, block, document, heading, key_values, listing, paragraph, table
+from .model import asset, block, document, table
 from .plain import clean, decode
 
 DEPTH = 40
@@ -66,21 +66,21 @@ def _is_table(v: list[Any]) -> bool:
 def value_blocks(v: Any, level: int = 2, name: str | None = None, depth: int = 0) -> list[dict[str, Any]]:
     """A JSON value: uniform objects as a table, scalars as a list, objects as pairs and then their nested members."""
     level = min(level, 6)
-    head = [heading(name, level)] if name else []
+    head = [block("heading", name, level=level)] if name else []
     if depth > DEPTH:
-        return [*head, paragraph(shown(v))]
+        return [*head, block("paragraph", shown(v))]
     if isinstance(v, list):
         if _is_table(v):
             names = list(dict.fromkeys(k for x in v for k in x))
             made = table([[shown(x.get(k)) for k in names] for x in v], header=names)
             return head + ([made] if made else [])
         if v and all(map(_flat, v)):
-            return [*head, listing([(0, shown(x), None) for x in v])]
+            return [*head, block("list", items=[(0, shown(x), None) for x in v])]
         return head + [b for i, x in enumerate(v, 1) for b in value_blocks(x, level + 1, f"[{i}]", depth + 1)]
     if isinstance(v, dict):
         pairs = [(k, shown(x)) for k, x in v.items() if _flat(x)]
-        return head + ([key_values(pairs)] if pairs else []) + [b for k, x in v.items() if not _flat(x) for b in value_blocks(x, level + 1, k, depth + 1)]
-    return [paragraph(f"**{name}:** {shown(v)}" if name else shown(v))]
+        return head + ([block("key_values", kv=pairs)] if pairs else []) + [b for k, x in v.items() if not _flat(x) for b in value_blocks(x, level + 1, k, depth + 1)]
+    return [block("paragraph", f"**{name}:** {shown(v)}" if name else shown(v))]
 
 
 def parse_json(data: bytes, name: str, options: Any) -> dict[str, Any]:

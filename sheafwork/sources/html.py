@@ -8,7 +8,7 @@ from html.parser import HTMLParser
 from typing import Any
 
 from ..operators.html_facts import CHROME
-from .model import SourceError, block, document, heading, key_values, listing, paragraph, table
+from .model import SourceError, block, document, table
 from .plain import clean, decode
 
 DEPTH, LIST_DEPTH, XML_DEPTH = 40, 8, 12
@@ -198,7 +198,7 @@ def blocks(node: Node, depth: int = 0) -> list[dict[str, Any]]:
         text = _tidy("".join(run))
         run.clear()
         if text:
-            out.append(paragraph(text))
+            out.append(block("paragraph", text))
 
     for c in node.children:
         if isinstance(c, str) or (c.tag not in _BLOCKY and c.tag != "img" and not _holds_blocks(c)):
@@ -206,13 +206,13 @@ def blocks(node: Node, depth: int = 0) -> list[dict[str, Any]]:
             continue
         flush()
         if depth > DEPTH:
-            out.append(paragraph(_squeeze(c.text())))
+            out.append(block("paragraph", _squeeze(c.text())))
         elif re.fullmatch(r"h[1-6]", c.tag):
             if text := _tidy(inline_children(c)).replace("\n", " "):
-                out.append(heading(text, int(c.tag[1])))
+                out.append(block("heading", text, level=int(c.tag[1])))
         elif c.tag in ("ul", "ol"):
             if items := _items(c):
-                out.append(listing(items, ordered=c.tag == "ol"))
+                out.append(block("list", items=items, ordered=c.tag == "ol"))
         elif c.tag == "table":
             out.append(_table(c))
         elif c.tag == "pre":
@@ -229,10 +229,10 @@ def blocks(node: Node, depth: int = 0) -> list[dict[str, Any]]:
             names = [x for x in c.elements() if x.tag in ("dt", "dd")]
             pairs = [(_tidy(inline_children(a)), _tidy(inline_children(b))) for a, b in zip(names, names[1:], strict=False) if a.tag == "dt" and b.tag == "dd"]
             if pairs:
-                out.append(key_values(pairs))
+                out.append(block("key_values", kv=pairs))
         elif c.tag == "figcaption":
             if text := _tidy(inline_children(c)):
-                out.append(paragraph(f"*{text}*"))
+                out.append(block("paragraph", f"*{text}*"))
         else:
             out += blocks(c, depth + 1)
     flush()
@@ -299,15 +299,15 @@ def _walk(node: ET.Element, level: int, out: list[dict[str, Any]]) -> None:
         if out and out[-1]["type"] == "key_values" and out[-1]["level"] == level:
             out[-1]["kv"] += [{"k": k, "v": v} for k, v in pairs]
         else:
-            out.append(key_values(pairs, level=level))
+            out.append(block("key_values", kv=pairs, level=level))
         return
-    out.append(heading(_local(node.tag), min(level, 6)))
+    out.append(block("heading", _local(node.tag), level=min(level, 6)))
     if facts:
-        out.append(key_values(facts, level=level + 1))
+        out.append(block("key_values", kv=facts, level=level + 1))
     if own:
-        out.append(paragraph(own))
+        out.append(block("paragraph", own))
     if level >= XML_DEPTH:
-        out.append(paragraph(_squeeze(" ".join(node.itertext()))))
+        out.append(block("paragraph", _squeeze(" ".join(node.itertext()))))
         return
     for child in node:
         _walk(child, level + 1, out)

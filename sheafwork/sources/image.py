@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 from typing import Any
 
-from .model import asset, document, key_values
+from .model import asset, block, document
 
 
 def size_of(data: bytes) -> tuple[str, int | None, int | None]:
@@ -55,4 +55,4 @@ def parse_image(data: bytes, name: str, options: Any) -> dict[str, Any]:
     kind, w, h = size_of(data)
     facts = [("Format", kind), ("Size", size(len(data)))] + ([("Dimensions", f"{w}x{h}")] if w and h else [])
     base = name.rpartition("/")[2] or "image"
-    return document([key_values(facts)], base, "filename", {"format": kind, "width": w, "height": h}, ["Text in images is not read; character recognition is not available."], [asset(1, base, f"image/{kind.lower()}", data, w, h)])
+    return document([block("key_values", kv=facts)], base, "filename", {"format": kind, "width": w, "height": h}, ["Text in images is not read; character recognition is not available."], [asset(1, base, f"image/{kind.lower()}", data, w, h)])

@@ -7,8 +7,8 @@ import email.policy
 from typing import Any
 
 from .html import blocks, tree
-from .model import document, heading, key_values, listing
-from .plain import clean, text_blocks
+from .model import block, document
+from .plain import clean, decode, plain as whole
 
 # Headers that are kept.
 HEADERS = ("From", "To", "Cc", "Subject", "Date", "Reply-To", "Message-ID")
@@ -24,7 +24,7 @@ def size(n: int) -> str:
 def parse_email(data: bytes, name: str, options: Any) -> dict[str, Any]:
     message = email.message_from_bytes(data, policy=email.policy.default)
     facts = [(h, clean(str(message[h]))) for h in HEADERS if message[h]]
-    out = [key_values(facts)] if facts else []
+    out = [block("key_values", kv=facts)] if facts else []
     plain, html, attached = None, None, []
     for part in message.walk():
         if part.is_multipart():
@@ -33,19 +33,16 @@ def parse_email(data: bytes, name: str, options: Any) -> dict[str, Any]:
             attached.append((part.get_filename() or "unnamed", len(part.get_payload(decode=True) or b"")))
             continue
         raw = part.get_payload(decode=True) or b""
-        try:
-            text = raw.decode(part.get_content_charset() or "utf-8", "replace")
-        except LookupError:
-            text = raw.decode("latin-1")
+        text = decode(raw, part.get_content_charset())
         if part.get_content_type() == "text/plain" and plain is None:
             plain = text
         elif part.get_content_type() == "text/html" and html is None:
             html = text
     if plain is not None and plain.strip():
-        out += text_blocks(clean(plain), options.detect_headings)
+        out += whole(plain)
     elif html is not None:
         out += blocks(tree(html))
     if attached:
-        out += [heading("Attachments", 2), listing([(0, f"{n} ({size(b)})", None) for n, b in attached])]
+        out += [block("heading", "Attachments", level=2), block("list", items=[(0, f"{n} ({size(b)})", None) for n, b in attached])]
     found = dict(facts)
     return document(out, found.get("Subject"), "metadata", {k.lower().replace("-", "_"): v for k, v in facts} | {"attachments": len(attached)}, [] if plain or html else ["The message has no text part."])

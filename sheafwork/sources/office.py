@@ -11,7 +11,7 @@ from decimal import Decimal
 from io import BytesIO
 from typing import Any
 
-from .model import SourceError, asset, block, document, heading, listing, paragraph, table
+from .model import SourceError, asset, block, document, table
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
@@ -163,7 +163,7 @@ def parse_docx(data: bytes, name: str, options: Any) -> dict[str, Any]:
 
     def flush() -> None:
         if items:
-            out.append(listing(list(items), ordered))
+            out.append(block("list", items=list(items), ordered=ordered))
             items.clear()
 
     def walk(parent: ET.Element) -> None:
@@ -192,16 +192,16 @@ def parse_docx(data: bytes, name: str, options: Any) -> dict[str, Any]:
                     continue
                 if m := re.fullmatch(r"heading\s*(\d)", low):
                     flush()
-                    out.append(heading(text.replace("**", ""), int(m[1])))
+                    out.append(block("heading", text.replace("**", ""), level=int(m[1])))
                 elif low == "title":
                     flush()
                     if title is None and not any(b and b["type"] != "page_break" for b in out):
                         title = text.replace("**", "")
                     else:
-                        out.append(heading(text.replace("**", ""), 1))
+                        out.append(block("heading", text.replace("**", ""), level=1))
                 elif low == "subtitle":
                     flush()
-                    out.append(heading(text.replace("**", ""), 2))
+                    out.append(block("heading", text.replace("**", ""), level=2))
                 elif num is not None or low.startswith("list"):
                     level = num.find(W + "ilvl") if num is not None else None
                     ident = num.find(W + "numId") if num is not None else None
@@ -221,7 +221,7 @@ def parse_docx(data: bytes, name: str, options: Any) -> dict[str, Any]:
                     out.append(block("quote", text))
                 else:
                     flush()
-                    out.append(paragraph(text))
+                    out.append(block("paragraph", text))
 
     walk(body)
     flush()
@@ -230,7 +230,7 @@ def parse_docx(data: bytes, name: str, options: Any) -> dict[str, Any]:
     if cut:
         warnings.append(f"Only the first {len(found)} images are kept.")
     if found:
-        out.append(heading("Embedded images", 2))
+        out.append(block("heading", "Embedded images", level=2))
         out += [block("image", a["asset_id"], src=f"{options.asset_dir}/{a['filename']}") for a in found]
     return document(out, title or facts.get("title"), "heading" if title else "metadata", facts, warnings, found)
 
@@ -282,7 +282,7 @@ def parse_pptx(data: bytes, name: str, options: Any) -> dict[str, Any]:
         if options.keep_page_breaks:
             out.append(block("page_break", page=number, label=None))
         first_title = first_title or title
-        out.append(heading(title or f"Slide {number}", 2, page=number))
+        out.append(block("heading", title or f"Slide {number}", level=2, page=number))
         for _, _, _, s in sorted(shapes, key=lambda x: x[:3]):
             if s.tag == P + "pic":
                 ref = next((b.get(R + "embed", "") for b in s.iter(A + "blip")), "")
@@ -303,13 +303,13 @@ def parse_pptx(data: bytes, name: str, options: Any) -> dict[str, Any]:
             elif s.find(P + "txBody") is not None:
                 lines = _paragraphs(s.find(P + "txBody"))
                 if len(lines) == 1 and lines[0][0] == 0:
-                    out.append(paragraph(lines[0][1], page=number))
+                    out.append(block("paragraph", lines[0][1], page=number))
                 elif lines:
                     depth, items = 0, []
                     for level, text in lines:
                         depth = min(level, depth + 1 if items else 0)
                         items.append((depth, text, None))
-                    out.append(listing(items, page=number))
+                    out.append(block("list", items=items, page=number))
         if options.include_speaker_notes:
             notes = next((pkg.xml(t) for kind, t, _ in links.values() if kind == "notesSlide"), None)
             for s in [] if notes is None else notes.iter(P + "sp"):
@@ -417,7 +417,7 @@ def parse_xlsx(data: bytes, name: str, options: Any) -> dict[str, Any]:
             warnings.append(f"Sheet '{title}' has more than {limits.max_sheet_cols} columns; the rest were left out.")
         if uncached:
             warnings.append(f"Sheet '{title}' has formulas without stored results.")
-        out.append(heading(f"Sheet: {title}", 2))
+        out.append(block("heading", f"Sheet: {title}", level=2))
         region: list[list[str]] = []
         for at in range(min(rows, default=1), max(rows, default=0) + 2):
             line = rows.get(at, [])
@@ -431,7 +431,7 @@ def parse_xlsx(data: bytes, name: str, options: Any) -> dict[str, Any]:
 
 def _region(rows: list[list[str]]) -> list[dict[str, Any] | None]:
     if all(sum(bool(c.strip()) for c in r) <= 1 for r in rows) and len({i for r in rows for i, c in enumerate(r) if c.strip()}) == 1:
-        return [paragraph(next(c for c in r if c.strip())) for r in rows]
+        return [block("paragraph", next(c for c in r if c.strip())) for r in rows]
     return [table(rows)]
 
 
@@ -469,7 +469,7 @@ def parse_epub(data: bytes, name: str, options: Any) -> dict[str, Any]:
             out.append(block("page_break", page=chapters))
         if found[0]["type"] != "heading":
             head = page.find(lambda n: n.tag == "title")
-            out.append(heading((head.text().strip() if head is not None else "") or f"Chapter {chapters}", 1))
+            out.append(block("heading", (head.text().strip() if head is not None else "") or f"Chapter {chapters}", level=1))
         out += found
     return document(out, facts.get("title"), "metadata", facts, [] if out else ["The book holds no readable chapter."])
 

@@ -44,10 +44,19 @@ PARSERS: dict[str, Parser] = {
 
 
 def register(fmt: str, parser: Parser) -> None:
-    """Use a parser for a format; it takes (data, filename, options) and returns ``model.document`` rows."""
+    """Use a parser for a format, or for a file extension such as ".xyz"; it takes (data, filename, options) and returns ``model.document`` rows.
+
+    ``parsed`` sends the registered parsers to the workers, so a parser has to be
+    importable there or to be picklable by value, as functions of a notebook are.
+    """
     PARSERS[fmt] = parser
 
 
+#: The parsers of a worker's current stage that are not this package's own; archives look their members' parsers up here.
+_SENT: dict[str, Parser] = {}
+_OWN = dict(PARSERS)
+
+
 def sniff(data: bytes, name: str) -> str:
     """Format of a member of an archive: the rules of ``functions.detect`` for one value in Python."""
     heads = ((b"%PDF-", "pdf"), (b"{\\rtf", "rtf"), (b"\x89PNG\r\n\x1a\n", "image"), (b"\xff\xd8\xff", "image"), (b"GIF87a", "image"), (b"GIF89a", "image"), (b"II*\x00", "image"), (b"MM\x00*", "image"), (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", "ole2"))
@@ -90,7 +99,8 @@ def parse_one(data: bytes | None, name: str, fmt: str, options: ConvertOptions,
             raise SourceError("parse_error", "The file is empty.")
         if len(data) > options.limits.max_file_bytes:
             raise SourceError("file_too_large", f"The file is over the limit of {options.limits.max_file_bytes} bytes.")
-        parser = PARSERS.get(fmt, parse_text)
+        base = name.rpartition("/")[2].lower()
+        parser = _SENT.get("." + base.rpartition(".")[2]) or _SENT.get(fmt) or PARSERS.get("." + base.rpartition(".")[2]) or PARSERS.get(fmt, parse_text)
         return parser(data, name, options, depth) if parser is parse_archive else parser(data, name, options)
     except SourceError as e:
         return failure(e.code, str(e))
@@ -98,32 +108,39 @@ def parse_one(data: bytes | None, name: str, fmt: str, options: ConvertOptions,
         return failure("parse_error", f"{type(e).__name__}: {e}")
 
 
-def parsed(files: DataFrame, options: ConvertOptions) -> DataFrame:
+def parsed(files: DataFrame, options: ConvertOptions, parsers: dict[str, Parser] | None = None) -> DataFrame:
     """Adds the columns of ``schema.DOCUMENT`` to rows of (filename, content, detection.format); ``content`` goes.
 
     Files over the size limit never reach Python. Batches are bounded in bytes.
+    parsers: by format or extension, used before the registered ones.
     """
+    sent = {k: v for k, v in PARSERS.items() if _OWN.get(k) is not v} | (parsers or {})
     files.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
     keep = [c for c in files.columns if c != "content"]
     kept = StructType([files.schema[c] for c in keep])
     made = StructType.fromDDL(DOCUMENT)
     arrow = to_arrow_schema(made)
     at = {c: files.columns.index(c) for c in files.columns}
-    big = F.octet_length("content") > options.limits.max_file_bytes
-    rows = files.withColumn("__size", F.octet_length("content")).withColumn("content", F.when(~big, F.col("content")))
+    # A source that leaves out the content of large files still says their size.
+    size = F.greatest(F.octet_length("content").cast("long"), F.col("size_bytes")) if "size_bytes" in files.columns else F.octet_length("content").cast("long")
+    rows = files.withColumn("__size", size).withColumn("content", F.when(F.octet_length("content") <= options.limits.max_file_bytes, F.col("content")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from sheafwork.sources import parse as here  # a worker serves several stages in turn
+
+        here._SENT.clear()
+        here._SENT.update(sent)
         for batch in batches:
             fmt = batch.column(at["detection"]).field("format").to_pylist()
             names = batch.column(at["filename"]).to_pylist()
-            sizes = batch.column(len(at)).to_pylist()
+            sizes = batch.column(batch.num_columns - 1).to_pylist()
             begin, weight, docs = 0, 0, []
             for i in range(batch.num_rows):
                 data = batch.column(at["content"])[i].as_py()
                 if data is None and (sizes[i] or 0) > options.limits.max_file_bytes:
                     docs.append(failure("file_too_large", f"The file is over the limit of {options.limits.max_file_bytes} bytes."))
                 else:
-                    docs.append(parse_one(data, names[i] or "", fmt[i], options))
+                    docs.append(here.parse_one(data, names[i] or "", fmt[i], options))
                 weight += sizes[i] or 0
                 if weight >= _TOGETHER or len(docs) == 256 or i + 1 == batch.num_rows:  # bounded in bytes, however large the files
                     part = batch.slice(begin, len(docs))

@@ -6,7 +6,7 @@ import re
 from typing import Any
 
 from .model import document
-from .plain import clean, text_blocks
+from .plain import plain as whole
 
 _TOKEN = re.compile(rb"\\([a-z]{1,32})(-?\d{1,10})? ?|\\'([0-9a-f]{2})|\\([^a-z])|([{}])|[\r\n]+|([^\\{}\r\n]+)", re.I)
 # Groups that hold no text; characters that control words stand for.
@@ -75,4 +75,4 @@ def text_of(data: bytes) -> str:
 
 
 def parse_rtf(data: bytes, name: str, options: Any) -> dict[str, Any]:
-    return document(text_blocks(clean(text_of(data)), options.detect_headings), warnings=["Rich text is converted approximately."])
+    return document(whole(text_of(data)), warnings=["Rich text is converted approximately."])

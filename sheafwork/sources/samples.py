@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import zipfile
+import zlib
 from collections.abc import Iterator
 from io import BytesIO
 from xml.sax.saxutils import escape
@@ -77,6 +78,51 @@ def epub(lines: list[str]) -> bytes:
     return container({"mimetype": "application/epub+zip", "META-INF/container.xml": '<container><rootfiles><rootfile full-path="o/book.opf"/></rootfiles></container>', "o/book.opf": opf, "o/a.xhtml": page("One", "<h1>Chapter one</h1>" + body), "o/b.xhtml": page("Two", "<p>no heading here</p>")})
 
 
+def pdf(lines: list[str], rows: int = 40, packed: bool = False) -> bytes:
+    """Pages of lines under a large heading, with running lines, a ruled table on the last page, a table of contents and facts."""
+    objects: dict[int, bytes] = {}
+    named = lambda n: "".join("abcdefghij"[int(c)] for c in str(n))
+    code = lambda t: "<" + t.encode("utf-16-be", "replace").hex() + ">"
+
+    def stream(head: str, body: bytes) -> bytes:
+        squeezed = zlib.compress(body)
+        return f"<< {head} /Length {len(squeezed)} /Filter /FlateDecode >> stream\n".encode() + squeezed + b"\nendstream"
+
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <0000> <FFFF> <0000> endbfrange"
+    objects[1] = b"<< /Type /Catalog /Pages 2 0 R /Outlines 3 0 R >>"
+    objects[3] = b"<< /First 4 0 R /Last 4 0 R /Count 1 >>"
+    objects[5] = b"<< /Title (Sample) /Author (A. Writer) /CreationDate (D:20240102030405Z) >>"
+    objects[6] = b"<< /Type /Font /Subtype /Type0 /BaseFont /Sample /Encoding /Identity-H /DescendantFonts [7 0 R] /ToUnicode 8 0 R >>"
+    objects[7] = b"<< /Type /Font /Subtype /CIDFontType2 /BaseFont /Sample /DW 500 >>"
+    objects[8] = stream("", cmap)
+    objects[9] = b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica-Bold /Encoding << /BaseEncoding /WinAnsiEncoding /Differences [1 /eacute /fi] >> >>"
+    pages = [lines[i : i + rows] for i in range(0, len(lines), rows)] or [[]]
+    kids = []
+    for n, part in enumerate(pages, 1):
+        text = [f"BT /F2 8 Tf 50 800 Td (Sample report page {n}) Tj ET", f"BT /F1 24 Tf 50 760 Td {code(f'Part {named(n)}')} Tj ET"]
+        text += [f"BT /F1 11 Tf 50 {740 - 16 * k} Td {code(x)} Tj ET" for k, x in enumerate(part)]
+        if n == len(pages):
+            at = 700 - 16 * rows
+            text += [f"{x} {at} m {x} {at + 40} l S" for x in (50, 150, 250)] + [f"50 {y} m 250 {y} l S" for y in (at, at + 20, at + 40)]
+            text += [f"BT /F2 11 Tf 1 0 0 1 {x} {y} Tm ({c}) Tj ET" for x, y, c in ((55, at + 26, "Name"), (155, at + 26, "Size"), (55, at + 6, "\\002rst caf\\001"), (155, at + 6, "1"))]
+        objects[20 + 2 * n] = f"<< /Type /Page /Parent 2 0 R /Contents {21 + 2 * n} 0 R >>".encode()
+        objects[21 + 2 * n] = stream("", "\n".join(text).encode())
+        kids.append(f"{20 + 2 * n} 0 R")
+    objects[2] = f"<< /Type /Pages /Kids [{' '.join(kids)}] /Count {len(kids)} /MediaBox [0 0 595 842] /Resources << /Font << /F1 6 0 R /F2 9 0 R >> >> >>".encode()
+    objects[4] = f"<< /Title <{'FEFF' + f'Part {named(1)}'.encode('utf-16-be').hex()}> /Parent 3 0 R /Dest [{kids[0]} /Fit] >>".encode()
+    if packed:  # all but the streams in one
+        inner = {n: o for n, o in objects.items() if b"stream" not in o}
+        at, index, body = 0, [], b""
+        for n, o in inner.items():
+            index.append(f"{n} {at}")
+            body += o + b"\n"
+            at = len(body)
+        head = " ".join(index).encode() + b"\n"
+        objects = {n: o for n, o in objects.items() if n not in inner} | {10: stream(f"/Type /ObjStm /N {len(inner)} /First {len(head)}", head + body), 11: stream("/Type /XRef /Root 1 0 R /Info 5 0 R /Size 12 /W [1 2 1]", b"")}
+    out = b"%PDF-1.5\n" + b"".join(f"{n} 0 obj\n".encode() + o + b"\nendobj\n" for n, o in objects.items())
+    return out + (b"" if packed else b"trailer << /Root 1 0 R /Info 5 0 R >>\n") + b"%%EOF\n"
+
+
 def build(kind: str, text: str) -> bytes:
     lines = [x for x in text.split("\n") if x.strip()]
     plain = "\n\n".join(["SAMPLE TITLE", *lines, "- one\n- two"])
@@ -109,7 +155,7 @@ def build(kind: str, text: str) -> bytes:
     if kind == "png":
         return b"\x89PNG\r\n\x1a\n\x00\x00\x00\rIHDR" + (3).to_bytes(4, "big") + (2).to_bytes(4, "big") + b"\x08\x02\x00\x00\x00"
     if kind == "pdf":
-        return b"%PDF-1.4\n%%EOF"
+        return pdf(lines)
     return plain.encode()
 
 

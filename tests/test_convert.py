@@ -11,7 +11,7 @@ from sheafwork.options import ConvertOptions
 from sheafwork.plans import chunk, render
 from sheafwork.schema import BLOCK_STRUCT
 from sheafwork.sources import samples
-from sheafwork.sources.model import block, heading, listing, table
+from sheafwork.sources.model import block, table
 
 FILES = "doc_id long, filename string, content binary, size_bytes long"
 
@@ -66,7 +66,7 @@ def doc_of(spark, blocks, title="T"):
 
 def test_chunks_keep_structure(spark):
     rows = [[f"name {i}", str(i)] for i in range(200)]
-    blocks = [heading("One", 1), block("paragraph", "word " * 60), heading("Two", 2), table(rows, header=["k", "v"]), block("code", "\n".join(f"line {i}" for i in range(300)), lang="py"), block("page_break", page=4), block("paragraph", "last.")]
+    blocks = [block("heading", "One", level=1), block("paragraph", "word " * 60), block("heading", "Two", level=2), table(rows, header=["k", "v"]), block("code", "\n".join(f"line {i}" for i in range(300)), lang="py"), block("page_break", page=4), block("paragraph", "last.")]
     out = sorted(chunk.chunks(doc_of(spark, blocks), ConvertOptions(chunk_size=500, chunk_overlap=50)).collect(), key=lambda r: r["index"])
     assert [r["index"] for r in out] == list(range(len(out))) and out[0]["id"] == "reporttxt-0000"
     tables = [r for r in out if r["text"].startswith("| k")]
@@ -81,11 +81,11 @@ def test_render_formats(spark):
     for fmt, want in (("csv", '"a,b"'), ("html", "&lt;x&gt;"), ("pipe", "| h | i |")):
         md = render.markdown(doc_of(spark, [t]), ConvertOptions(table_format=fmt)).first()["markdown"]
         assert want in md
-    md = render.markdown(doc_of(spark, [listing([(0, "a", None), (1, "b", True), (0, "c", None)], True)], None)).first()["markdown"]
+    md = render.markdown(doc_of(spark, [block("list", items=[(0, "a", None), (1, "b", True), (0, "c", None)], ordered=True)], None)).first()["markdown"]
     assert md == "1. a\n  - [x] b\n2. c\n"
     long = block("paragraph", "word " * 40)
     assert max(map(len, render.markdown(doc_of(spark, [long]), ConvertOptions(wrap_width=40)).first()["markdown"].split("\n"))) <= 40
-    repeated = render.markdown(doc_of(spark, [heading("t", 1), block("rule")])).first()["markdown"]
+    repeated = render.markdown(doc_of(spark, [block("heading", "t", level=1), block("rule")])).first()["markdown"]
     assert repeated == "# t\n\n---\n"
 
 

@@ -9,7 +9,6 @@ from sheafwork.sources import samples
 from sheafwork.sources.html import parse_html
 from sheafwork.sources.office import shown_number
 from sheafwork.sources.parse import parse_one, register, sniff
-from sheafwork.sources.pdf import structure
 from sheafwork.sources.rtf import text_of
 
 O = ConvertOptions()
@@ -112,16 +111,63 @@ def test_rtf():
     assert text_of(data).split() == ["a", "**bold**", "é", "€", "end"]
 
 
-def test_pdf_structure():
-    line = lambda t, s, y, b=False: {"text": t, "size": s, "bold": b, "y": y}
-    pages = [{"number": n, "lines": [line(f"Report {n}", 8, 1), line('one two three four'.split()[n], 24, 2), line("Body text that goes on", 11, 3), line("and ends here.", 11, 4), line(f"- a point of {'xyzw'[n]}", 11, 5), line(str(n), 8, 9)], "tables": []} for n in (1, 2, 3)]
-    out, facts, warnings = structure(pages, O)
-    assert [b["type"] for b in out[:4]] == ["page_break", "heading", "paragraph", "list"]
-    assert out[2]["text"] == "Body text that goes on and ends here." and facts["removed_running_text"] == ["report #"] and not warnings
-
-
-def test_pdf_without_its_library_is_an_error_row():
-    assert parse("pdf")["error"]["code"] in ("missing_dependency", "parse_error")
+def test_pages_of_lines(spark):
+    """What is made of the lines of pages: running lines go, sizes rank, tables stand where they stood."""
+    from pyspark.sql import functions as F
+
+    from sheafwork.operators import layout
+    from sheafwork.schema import LAYOUT
+    from sheafwork.sources.model import table
+
+    lines = []
+    for n in (1, 2, 3):
+        texts = [(f"Report {n}", 8.0), ("one two three four".split()[n], 24.0), ("Body text that goes on", 11.0), ("and ends here.", 11.0), (f"- a point of {'xyzw'[n]}", 11.0), ("Known Entry", 11.0), (f"on page {'abc'[n - 1]}.", 11.0), (str(n), 8.0)]
+        lines += [{"page": n, "line_no": k, "y": 10.0 * k, "size": size, "bold": False, "text": t} for k, (t, size) in enumerate(texts)]
+    grid = table([["1", "2"]], header=["a", "b"], page=2)
+    found = {"number": 4, "lines": lines, "tables": [{"page": 2, "y": 25.0, "block": grid}], "outline": [{"page": 3, "title": "known entry", "level": 2}]}
+    out = spark.createDataFrame([(found,)], f"layout {LAYOUT}").select(F.inline(F.array(layout.as_blocks(F.col("layout"))))).first()
+    kinds = [b["type"] for b in out["blocks"]]
+    assert kinds == ["page_break", "heading", "paragraph", "list", "paragraph", "page_break", "heading", "paragraph", "table", "paragraph", "list", "paragraph", "page_break", "heading", "paragraph", "list", "heading", "paragraph", "page_break"]
+    assert out["blocks"][2]["text"] == "Body text that goes on and ends here." and out["blocks"][-3]["level"] == 2
+    assert out["removed"] == ["report #"] and out["empty"] == 1
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_pdf(spark, packed):
+    import sheafwork
+
+    lines = [f"Line {i} of the text goes on for a while, übér {chr(0x4E00 + i)}" + ("." if i % 3 == 0 else "") for i in range(100)]
+    data = samples.pdf(lines, packed=packed)
+    doc = parse_one(data, "a.pdf", "pdf", O)
+    assert doc["error"] is None and doc["title"] == "Sample" and json.loads(doc["metadata"])["author"] == "A. Writer" and json.loads(doc["metadata"])["created"] == "2024-01-02T03:04:05"
+    found = doc["layout"]
+    assert found["number"] == 3 and found["outline"] == [{"page": 1, "title": "part b", "level": 1}]
+    texts = [x["text"] for x in found["lines"]]
+    assert all(x in texts for x in lines) and texts[0] == "Sample report page 1"
+    assert found["tables"][0]["block"]["header"] == [] or found["tables"][0]["block"]["header"] == ["Name", "Size"]
+    assert found["tables"][0]["block"]["rows"][-1] == ["first café", "1"]
+    files = spark.createDataFrame([(1, "a.pdf", bytearray(data), len(data))], "doc_id long, filename string, content binary, size_bytes long")
+    row = sheafwork.convert(files, sheafwork.ConvertOptions(frontmatter=False)).first()
+    assert row["format"] == "pdf" and json.loads(row["metadata"])["removed_running_text"] == ["sample report page #"]
+    assert [b["text"] for b in row["blocks"] if b["type"] == "heading"] == ["Part b", "Part c", "Part d"]
+    assert "| Name" in row["markdown"] and "Sample report" not in row["markdown"]
+
+
+def test_pdf_parts():
+    import zlib
+
+    from sheafwork.sources import pdf
+
+    assert pdf._read(rb"[1 -2.5 (a\(b\)\101\n(c)) <48 69 2> /Na#6de true null 3 0 R]", 0)[0] == [1, -2.5, b"a(b)A\n(c)", b"Hi ", "Name", True, None, pdf.Ref(3)]
+    assert [pdf.glyph(n) for n in ("eacute", "Adieresis", "uni00E9", "three", "comma", "g123", "f_i.alt")] == ["é", "Ä", "é", "3", ",", "", ""]
+    rows = bytes([2, 1, 2, 3, 2, 1, 1, 1])
+    assert pdf._unpredicted(rows, {"Predictor": 12, "Columns": 3}) == bytes([1, 2, 3, 2, 3, 4])
+    assert pdf._lzw(bytes([0x80, 0x0B, 0x60, 0x50, 0x22, 0x0C, 0x0C, 0x85, 0x01]), 1) == bytes([45, 45, 45, 45, 45, 65, 45, 45, 45, 66])
+    assert pdf._run_lengths(bytes([2, 1, 2, 3, 254, 9, 128])) == bytes([1, 2, 3, 9, 9, 9])
+    assert pdf._inflated(zlib.compress(b"x" * 5000)[:-4]) == b"x" * 5000
+    assert parse_one(b"%PDF-1.4\n%%EOF", "a.pdf", "pdf", O)["error"]["code"] == "parse_error"
+    locked = samples.pdf(["x"]).replace(b"trailer << ", b"trailer << /Encrypt 9 0 R ")
+    assert "encrypted" in parse_one(locked, "a.pdf", "pdf", O)["error"]["message"]
 
 
 @pytest.mark.parametrize("kind", samples.KINDS)
@@ -135,21 +181,33 @@ def test_damaged_files_never_raise(kind):
         assert parse_one(bad, f"a.{kind}", sniff(bad, f"a.{kind}"), O)["blocks"] is not None
 
 
-@pytest.mark.parametrize("kind", [k for k in samples.KINDS if k not in ("png", "pdf")])
+@pytest.mark.parametrize("kind", [k for k in samples.KINDS if k != "png"])
 def test_samples_hold_the_whole_text(kind):
     lines = [f"begin{i} " + "some words of a long line " * 20 + f"end{i}." for i in range(60)]
     data = samples.build(kind, "\n".join(lines))
-    text = json.dumps(parse_one(data, f"a.{kind}", sniff(data, f"a.{kind}"), O)["blocks"], default=str)
+    doc = parse_one(data, f"a.{kind}", sniff(data, f"a.{kind}"), O)
+    text = json.dumps([doc["blocks"], doc["layout"]], default=str)
     assert all(f"begin{i} " in text and f"end{i}." in text for i in range(60))
 
 
-def test_own_parser():
+def test_own_parser_reaches_the_workers(spark):
+    import sheafwork
     from sheafwork.sources import parse as registry
-    from sheafwork.sources.model import document, paragraph
-
-    register("shout", lambda data, name, options: document([paragraph(data.decode().upper())]))
-    assert parse_one(b"hi", "a", "shout", O)["blocks"][0]["text"] == "HI"
-    del registry.PARSERS["shout"]
+    from sheafwork.sources.model import block, document
+
+    loud = lambda data, name, options: document([block("paragraph", data.decode().upper())])
+    files = spark.createDataFrame([(1, "a.csv", bytearray(b"a,b"), 3), (2, "b.shout", bytearray(b"hi"), 2), (3, "c.txt", bytearray(b"hi"), 2)], "doc_id long, filename string, content binary, size_bytes long").repartition(3)
+    texts = lambda df: {r["doc_id"]: r["blocks"][0]["text"] for r in df.collect()}
+    assert texts(sheafwork.documents(files, parsers={"csv": loud, ".shout": loud})) == {1: "A,B", 2: "HI", 3: "hi"}
+    register("csv", loud)
+    register(".shout", loud)
+    try:
+        assert texts(sheafwork.documents(files)) == {1: "A,B", 2: "HI", 3: "hi"}
+        assert parse_one(b"hi", "a.shout", "text", O)["blocks"][0]["text"] == "HI"
+    finally:
+        registry.PARSERS["csv"] = registry._OWN["csv"]
+        del registry.PARSERS[".shout"]
+    assert texts(sheafwork.documents(files))[1] is None
 
 
 def test_limits_and_empty():
