@@ -9,14 +9,19 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.text import basename
 from ..options import ConvertOptions
 from ..plans import convert
-from ..plans.sinks import write_tables
+from ..plans.sinks import write_chunks, write_documents
 
 
-def landing(spark: SparkSession, path: str, watermark: str = "1 day") -> DataFrame:
-    """(doc_id, filename, content, size_bytes) of new files; a redelivered content within the watermark is dropped."""
+def landing(spark: SparkSession, path: str, watermark: str = "30 days", files_per_batch: int = 1000) -> DataFrame:
+    """(doc_id, filename, content, size_bytes) of new files; a content that came before within the watermark is dropped.
+
+    Time is the arrival, when the stream first reads a file, so a file copied in with
+    an old date is as new as any other. files_per_batch bounds what one batch holds.
+    """
     schema = "path string, modificationTime timestamp, length long, content binary"
-    rows = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(path)
-    once = rows.withColumn("sha", F.sha2("content", 256)).withWatermark("modificationTime", watermark).dropDuplicatesWithinWatermark(["sha"])
+    reader = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", str(files_per_batch))
+    rows = reader.load(path).withColumn("arrived", F.current_timestamp()).withColumn("sha", F.sha2("content", 256))
+    once = rows.withWatermark("arrived", watermark).dropDuplicatesWithinWatermark(["sha"])
     return once.select(F.col("path").alias("doc_id"), basename(F.col("path")).alias("filename"), "content", F.col("length").alias("size_bytes"))
 
 
@@ -28,9 +33,10 @@ def ingest(spark: SparkSession, path: str, out: str, checkpoint: str, options: C
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        docs = convert.convert(batch, options)
-        kept = docs.persist()
-        write_tables(kept, convert.chunk.chunks(kept.where("error is null"), options), f"{out}/batch={number}")
-        kept.unpersist()
+        folder = f"{out}/batch={number}"
+        write_documents(convert.convert(batch, options), folder)
+        # The chunks are made of what has been written, so a batch is parsed once and held nowhere.
+        docs = batch.sparkSession.read.parquet(f"{folder}/documents").where("error is null")
+        write_chunks(convert.chunk.chunks(docs, options), folder)
 
     return landing(spark, path).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
