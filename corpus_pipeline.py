@@ -3,6 +3,14 @@
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns
 a DataFrame. All but the last return the columns of documents.
 
+Defined results at every stage: rows with a null doc_id, source, lang or text are rows
+like others (a null text counts as empty, so the classifier judges it, no line is
+removed of it, it is linked with nothing, its mix takes no words of it, and it packs
+as the end token); texts of any length are worked on whole; of equal texts the one with
+the smallest doc_id stays; rows repeated by the mix are packed one by one; columns
+besides those of documents are passed through, whatever their names; an empty table
+gives an empty one. Each operator's module states its own cases.
+
 The line dedup runs before the n-gram join, so the join sees texts without lines
 that stand elsewhere; the mix repeats or leaves out whole documents, and packing
 cuts what is left into sequences of 2048 tokens.
