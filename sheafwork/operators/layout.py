@@ -70,7 +70,7 @@ def running_furniture(lines: Column) -> Column:
 
 def without_furniture(lines: Column, keys: Column) -> Column:
     """Lines without blank ones, bare page numbers and those of the keys."""
-    return F.filter(lines, lambda x: (strip(x["text"]) != "") & ~is_page_number(x["text"]) & ~F.array_contains(keys, generalise(x["text"])))
+    return let(keys, lambda ks: F.filter(lines, lambda x: (strip(x["text"]) != "") & ~is_page_number(x["text"]) & ~F.array_contains(ks, generalise(x["text"]))))
 
 
 def level_of(line: Column, body: Column, sizes: Column, outline_level: Column, detect_headings: bool = True) -> Column:
@@ -85,11 +85,13 @@ def level_of(line: Column, body: Column, sizes: Column, outline_level: Column, d
 def levelled(lines: Column, body: Column, sizes: Column, outline: Column | None = None, detect_headings: bool = True) -> Column:
     """(page, line_no, y, text, level) of each line. outline: map of "page title", the title folded, to level."""
 
-    def one(x: Column) -> Column:
+    def one(x: Column, body: Column, sizes: Column, outline: Column | None) -> Column:
         known = F.lit(None) if outline is None else F.try_element_at(outline, F.concat_ws(" ", x["page"].cast("string"), normal_line(x["text"])))
         return F.struct(x["page"].alias("page"), x["line_no"].alias("line_no"), x["y"].alias("y"), x["text"].alias("text"), level_of(x, body, sizes, known, detect_headings).alias("level"))
 
-    return F.transform(lines, one)
+    # Bound, so that no line computes them again.
+    facts = F.struct(body.alias("body"), sizes.alias("sizes"), *([] if outline is None else [outline.alias("outline")]))
+    return let(facts, lambda f: F.transform(lines, lambda x: one(x, f["body"], f["sizes"], None if outline is None else f["outline"])))
 
 
 def reflow(lines: Column) -> Column:
