@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 from functools import reduce
 
@@ -19,6 +20,8 @@ def _parser() -> argparse.ArgumentParser:
         p.add_argument("-o", "--out", help="folder for documents, assets and chunks")
         p.add_argument("-r", "--recursive", action="store_true")
         p.add_argument("--chunk", action="store_true")
+        p.add_argument("--ir", action="store_true", help="also write the documents as JSON")
+        p.add_argument("--bundles", action="store_true", help="also write a folder of files for each document")
         p.add_argument("--chunk-size", type=int, default=1200)
         p.add_argument("--chunk-overlap", type=int, default=120)
         p.add_argument("--frontmatter", action=argparse.BooleanOptionalAction, default=True)
@@ -43,7 +46,7 @@ def inspect(documents: DataFrame) -> DataFrame:
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    from . import __version__, chunks, convert, documents, files, write_jsonl, write_tables
+    from . import __version__, bundles, chunks, convert, documents, files, receipts, unique_stems, write_json, write_jsonl, write_tables
     from .functions.detect import PARSERS
     from .options import ConvertOptions, Limits
 
@@ -64,6 +67,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         chunk_size=args.chunk_size, chunk_overlap=args.chunk_overlap, limits=Limits(max_file_bytes=args.max_mb << 20),
     )
     found = reduce(DataFrame.unionByName, [files(spark, p, args.recursive) for p in args.paths])
+    if not args.out and (args.ir or args.bundles or found.limit(2).count() > 1):
+        print("several files, --ir and --bundles need a folder: --out", file=sys.stderr)
+        return 2
     if args.out:
         docs = convert(found, options).persist()
         from .plans import chunk
@@ -72,6 +78,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         write_tables(docs, rows, args.out)
         if args.chunk or args.verb == "chunk":
             write_jsonl(rows, f"{args.out}/chunks_jsonl")
+        if args.ir:
+            write_json(docs, f"{args.out}/documents_json")
+        if args.bundles:
+            stems = unique_stems(docs.where("error is null").select("doc_id", "filename"), "doc_id", "filename").select("doc_id", "stem")
+            bundles(docs.join(stems, "doc_id"), os.path.abspath(f"{args.out}/bundles"), rows).count()
+        for r in receipts(docs).where("error is not null").select("doc_id", "error.message").limit(100).collect():
+            print(f"{r['doc_id']}: {r['message']}", file=sys.stderr)
         total, failed = docs.agg(F.count("*"), F.count("error")).first()
         docs.unpersist()
         print(f"{total - failed} converted, {failed} failed", file=sys.stderr)

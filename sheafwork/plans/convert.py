@@ -15,6 +15,7 @@ from ..functions.text import cut, let, title_from_filename
 from ..operators import layout, text_blocks
 from ..operators.measure import block_words, headline, measure
 from ..options import ConvertOptions
+from ..sources.baseline import with_baseline
 from ..sources.parse import Parser, parsed
 from . import chunk, render
 
@@ -117,10 +118,12 @@ def chunks(files: DataFrame, options: ConvertOptions | None = None) -> DataFrame
 
 
 def compare(files: DataFrame, options: ConvertOptions | None = None) -> DataFrame:
-    """What conversion recovers of each file, counted, with a headline."""
-    docs = documents(files, options)
+    """A plain text extraction beside the conversion: doc_id, filename, format, title, baseline, markdown, warnings, counts of what was recovered, headline."""
+    docs = convert(files, (options or ConvertOptions()).with_(frontmatter=False)).where("error is null")
     removed = F.from_json(F.get_json_object("metadata", "$.removed_running_text"), "array<string>")
-    return headline(measure(docs.where("error is null").withColumn("removed_running", removed)))
+    counted = headline(measure(docs.withColumn("removed_running", removed)))
+    shown = docs.select("doc_id", "filename", "format", "title", "markdown", "warnings")
+    return shown.join(with_baseline(with_detection(files)), "doc_id").join(counted, "doc_id")
 
 
 def one(spark: SparkSession, data: bytes, filename: str, options: ConvertOptions | None = None, converted_at: str | None = None):

@@ -1,6 +1,7 @@
 """The whole way over DataFrames: documents, Markdown, chunks, sinks, streams."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +104,58 @@ def test_sinks_and_reading(spark, files, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "chunks")).count() == len(lines)
 
 
+def test_documents_as_json(spark, files):
+    docs = sheafwork.documents(files).where("error is null")
+    want = {r["doc_id"]: r for r in docs.collect()}
+    got = {r["doc_id"]: json.loads(r["json"]) for r in sheafwork.document_json(docs).collect()}
+    assert set(got) == set(want)
+    for k, d in got.items():
+        row = want[k]
+        assert d["title"] == row["title"] and d["warnings"] == row["warnings"] and len(d["assets"]) == len(row["assets"]) and d["metadata"] == json.loads(row["metadata"])
+        assert [b["type"] for b in d["blocks"]] == [b["type"] for b in row["blocks"]]
+        for b, r in zip(d["blocks"], row["blocks"], strict=True):
+            if b["type"] == "table":
+                assert b["content"]["rows"] == r["rows"] and b["content"].get("header") == (r["header"] or None)
+            elif b["type"] == "list":
+                assert [i["text"] for i in b["content"]] == [i["text"] for i in r["items"]] and b["metadata"]["ordered"] == r["ordered"]
+            elif b["type"] == "key_values":
+                assert b["content"] == {p["k"]: p["v"] for p in r["kv"]}
+            elif b["type"] not in ("rule", "page_break"):
+                assert b["content"] == (r["text"] or "") and b.get("level") == r["level"]
+
+
+def test_baselines(spark, files):
+    got = {r["filename"]: r for r in sheafwork.compare(files).collect()}
+    assert "Hello world line." in got["my_file-0.txt"]["baseline"]
+    by = {name.rpartition(".")[2]: r for name, r in got.items() if name != "lie.txt"}
+    for kind in ("docx", "pptx", "xlsx", "html", "pdf", "md", "csv"):
+        assert "Second line é." in by[kind]["baseline"], kind
+    assert "first" not in by["docx"]["baseline"] and by["docx"]["tables"] == 1  # the table is not in its paragraphs
+    assert "menu" in by["html"]["baseline"] and "menu" not in by["html"]["markdown"]
+    assert by["pdf"]["headline"].startswith("Recovered 1 table")
+
+
+def test_receipts_and_large_files(spark, files):
+    import sheafwork.sources.read as reading
+
+    docs = sheafwork.convert(files)
+    rows = {r["doc_id"]: r for r in sheafwork.receipts(docs, sheafwork.chunks(files)).collect()}
+    assert rows[99]["error"]["code"] == "parse_error" and rows[0]["chunks"] > 0 and rows[0]["characters"] > 0
+    big = spark.createDataFrame([(1, "a.txt", None, 3 << 30)], FILES)
+    assert sheafwork.convert(big).first()["error"]["code"] == "file_too_large"
+    assert reading.LARGEST < 1 << 31
+
+
+def test_large_files_are_rows(spark, tmp_path, monkeypatch):
+    import sheafwork.sources.read as reading
+
+    monkeypatch.setattr(reading, "LARGEST", 10)
+    (tmp_path / "a.txt").write_text("small")
+    (tmp_path / "b.txt").write_text("a text of more than ten bytes")
+    got = {r["filename"]: (r["content"], r["size_bytes"]) for r in sheafwork.files(spark, str(tmp_path)).collect()}
+    assert got == {"a.txt": (b"small", 5), "b.txt": (None, 29)}
+
+
 def test_stream_ingest_once(spark, tmp_path):
     from sheafwork.streaming.ingest import ingest
 
@@ -112,6 +165,7 @@ def test_stream_ingest_once(spark, tmp_path):
     args = (spark, str(tmp_path / "land"), str(tmp_path / "out"), str(tmp_path / "check"))
     ingest(*args).awaitTermination(120)
     (tmp_path / "land" / "b.txt").write_text("OTHER\n\nmore text.")
+    os.utime(tmp_path / "land" / "b.txt", (1e9, 1e9))  # an old file is new here
     ingest(*args).awaitTermination(120)
     rows = [r for p in (tmp_path / "out").glob("batch=*/documents") for r in spark.read.parquet(str(p)).collect()]
     assert sorted(r["title"] for r in rows) == ["OTHER", "TITLE"]
@@ -138,9 +192,13 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "in" / "b.doc").write_bytes(b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1")
     path = str(tmp_path / "in")
     assert main(["version"]) == 0 and main(["formats"]) == 0
-    assert main(["convert", path], spark) == 0
-    out = capsys.readouterr()
-    assert "# A" in out.out and "Legacy Office" in out.err
-    assert main(["convert", path, "--out", str(tmp_path / "out"), "--chunk"], spark) == 0
+    assert main(["convert", path], spark) == 2  # several files need a folder
+    assert main(["convert", f"{path}/a.md"], spark) == 0
+    assert "# A" in capsys.readouterr().out
+    assert main(["convert", path, "--out", str(tmp_path / "out"), "--chunk", "--ir", "--bundles"], spark) == 0
+    assert "Legacy Office" in capsys.readouterr().err
+    assert (tmp_path / "out" / "bundles" / "a" / "a.md").read_text().endswith("# A\n\ntext\n")
+    ir = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out" / "documents_json")).collect()]
+    assert [(d["source"]["filename"], d["blocks"][0]["type"]) for d in ir] == [("a.md", "raw")]
     assert main(["inspect", path], spark) == 0
     assert main(["convert", f"{path}/b.doc"], spark) == 1

@@ -153,6 +153,45 @@ def test_pdf(spark, packed):
     assert "| Name" in row["markdown"] and "Sample report" not in row["markdown"]
 
 
+def page_of(*content, rotate=""):
+    """A PDF of one page with Helvetica."""
+    body = "\n".join(content).encode()
+    return (
+        b"%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Kids [3 0 R] /Count 1 /Type /Pages >> endobj\n"
+        + f"3 0 obj << /Type /Page /Parent 2 0 R {rotate} /MediaBox [0 0 600 800] /Contents 4 0 R /Resources << /Font << /F 5 0 R >> >> >> endobj\n".encode()
+        + f"4 0 obj << /Length {len(body)} >> stream\n".encode() + body + b"\nendstream endobj\n5 0 obj << /Type /Font /Subtype /Type1 /BaseFont /Helvetica >> endobj\ntrailer << /Root 1 0 R >>\n"
+    )
+
+
+def pdf_lines(data):
+    doc = parse_one(data, "a.pdf", "pdf", O)
+    assert doc["error"] is None
+    return [x["text"] for x in doc["layout"]["lines"]]
+
+
+def test_pdf_reading_order():
+    left = [f"BT /F 10 Tf 50 {700 - 12 * k} Td (left line {k} of a column) Tj ET" for k in range(5)]
+    right = [f"BT /F 10 Tf 320 {700 - 12 * k} Td (right line {k} of a column) Tj ET" for k in range(5)]
+    mixed = [x for pair in zip(left, right, strict=True) for x in pair]
+    got = pdf_lines(page_of("BT /F 20 Tf 50 740 Td (One title over both of the columns) Tj ET", *mixed))
+    assert got == ["One title over both of the columns", *[f"left line {k} of a column" for k in range(5)], *[f"right line {k} of a column" for k in range(5)]]
+    assert pdf_lines(page_of("BT /F 10 Tf 0 1 -1 0 300 100 Tm (turned by a quarter) Tj 0 -14 Td (and a second line) Tj ET")) == ["turned by a quarter", "and a second line"]
+    assert pdf_lines(page_of("BT 14 TL /F 10 Tf 50 700 Td [(ker) -20 (ned) -400 (words)] TJ T* (x) ' ET", rotate="/Rotate 90"))[0] == "kerned words"
+    form = page_of("q 1 0 0 1 0 0 cm BI /W 1 /H 1 ID \x00EI x EI Q BT /F 10 Tf 50 700 Td (after an image) Tj ET")
+    assert pdf_lines(form) == ["after an image"]
+    assert parse_one(page_of(""), "a.pdf", "pdf", O)["layout"]["lines"] == []
+    many = samples.pdf([str(i) for i in range(200)])
+    assert "first 2 of 5" in parse_one(many, "a.pdf", "pdf", O.with_(limits=Limits(max_pdf_pages=2)))["warnings"][0]
+
+
+def test_scanned_pages_are_reported(spark):
+    import sheafwork
+
+    data = page_of("0 0 m 10 10 l S")
+    row = sheafwork.documents(spark.createDataFrame([(1, "scan.pdf", bytearray(data), len(data))], "doc_id long, filename string, content binary, size_bytes long")).first()
+    assert "looks scanned" in row["warnings"][0] and [b["type"] for b in row["blocks"]] == ["page_break"]
+
+
 def test_pdf_parts():
     import zlib
 
