@@ -60,6 +60,14 @@ class Workspace:
         out._sheaf_path = path
         return out
 
+    def settle(self, df: DataFrame) -> DataFrame:
+        """Store a result and remove all tables before it, which nothing else may read any more."""
+        before = self._n
+        out = self.store(df)
+        for n in range(1, before + 1):
+            self._delete(f"{self.root}/{n:03d}")
+        return out
+
     def drop(self, *stored: DataFrame) -> None:
         for df in stored:
             self._delete(df._sheaf_path)
