@@ -15,8 +15,9 @@ by doc_id, then by the hash of the text, then by line number; all others go.
 
 Defined results: null text stays null; empty texts, and lines of fewer than
 ``MIN_LENGTH`` characters or without a word, are left as they are; rows that repeat
-doc_id and text are one document and are treated alike; null doc_id comes first; an
-empty table gives an empty result; other columns are passed through untouched.
+doc_id and text are one document and are treated alike; null doc_id comes first; lines
+of any length are compared whole; an empty table gives an empty result; other columns,
+whatever their names, are passed through untouched.
 """
 
 from __future__ import annotations
@@ -218,7 +219,7 @@ def removals(space: Workspace, docs: DataFrame, threshold: int = THRESHOLD) -> D
 
 def cleaned(space: Workspace, docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """docs, its text without the removed lines, and lines_before, lines_gone."""
-    gone = space.store(removals(space, docs, threshold))
+    gone = space.settle(removals(space, docs, threshold))
     d = docs.alias("d")
     # By a shuffle at every size: what is removed grows with the input.
     g = gone.select(F.col("doc_id").alias("g_doc"), F.col("text_hash").alias("g_hash"), F.col("gone").alias("g_gone")).hint("merge").alias("g")

@@ -8,7 +8,10 @@ window is one boundary record.
 
 Defined results: null and empty texts are the end token alone; every row is packed,
 repeated doc_ids and texts too; a text of any length is cut over as many sequences
-as it needs; an empty table gives no pieces. Only the last sequence can be short.
+as it needs; documents are concatenated in the order of the partitions and of the
+rows in them, so ties need no rule; columns besides doc_id and text are not read,
+whatever their names; an empty table gives no pieces. Only the last sequence can be
+short.
 """
 
 from __future__ import annotations

@@ -7,8 +7,10 @@ lines' forward-backward marginals, put through a fitted logistic link, is the
 document's quality.
 
 Only the text is an input of a score. Defined results: null text counts as empty;
-an empty text is one empty line and gets a score like any other; repeated rows get
-equal scores; with no usable label every score is 0.5, with labels of one class
+an empty text is one empty line and gets a score like any other; texts of any length
+are scored whole; repeated rows, and equal texts, get equal scores; a score of just
+the threshold is accepted; columns besides doc_id and text are not read, whatever
+their names; an empty table gives an empty result; with no usable label every score is 0.5, with labels of one class
 every score is the smoothed share of label 1.
 """
 
@@ -27,6 +29,8 @@ from .textbytes import Block, Lines, Words, blocks, per, running
 
 #: Documents that the model is fitted on, at most (the bound of the training sample).
 TRAIN_DOCUMENTS = 3000
+#: Lines of a text that the model is fitted on, at most; longer texts are left out of the training, so its size is bounded.
+TRAIN_LINES = 500
 #: Score from which a document counts as good.
 THRESHOLD = 0.7
 
@@ -217,6 +221,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, limit: int =
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     )
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    sample = sample.where(F.coalesce(F.regexp_count("text", F.lit("\n")), F.lit(0)) < TRAIN_LINES)
     rows = sample.mapInArrow(_featurise, "doc_id long, quality int, lines binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["lines"])))
     width = _own(Block(0, np.zeros(0, np.uint8), np.zeros(2, np.int64)), Lines(Block(0, np.zeros(0, np.uint8), np.zeros(2, np.int64)))).shape[1] * 3 + 4

@@ -12,8 +12,9 @@ A token that touches several sections is allocated by an explicit rule:
 
 Defined results: null text counts as empty and has no section (or, with own
 sections, zeros); tokens that touch no section count for none and are reported as
-``outside``; repeated rows are counted one by one; an empty table gives an empty
-result.
+``outside``; repeated rows are counted one by one; texts of any length are encoded
+whole; columns besides doc_id, text and those that the sections are made of are not
+read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ rules must pass.
 
 Defined results: null text counts as empty and, like every text under 50 words,
 fails the base test; repeated rows get equal results; on an empty table the result
-is empty; identical vote patterns get identical posteriors. Words are runs of
+is empty; identical vote patterns get identical posteriors, and a posterior of just
+``KEEP_FROM`` is kept; texts of any length are counted whole; columns besides doc_id
+and text are not read, whatever their names. Words are runs of
 characters other than the space and U+0009 to U+000D.
 """
 
@@ -94,7 +96,7 @@ def rules() -> dict[str, Column]:
     size, n = share("word_chars", "n_words"), F.col("n_words")
     ended, rich, letters = share("n_ended", "n_lines"), share("n_distinct", "n_words"), share("n_letters", "word_chars")
     return {
-        "length": vote(n, n >= 100, n < 30),
+        "length": vote(n, n >= 100, n < 60),
         "word_size": vote(size, (size >= 3) & (size <= 8), (size < 2) | (size > 12)),
         "symbols": between(share("n_symbols", "n_words"), 0.03, 0.1),
         "duplicate_lines": F.when(F.col("n_lines") < 3, 0).otherwise(between(share("n_dup_lines", "n_lines"), 0.05, 0.3)),
