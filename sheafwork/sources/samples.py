@@ -159,12 +159,12 @@ def build(kind: str, text: str) -> bytes:
     return plain.encode()
 
 
-def files(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One file per row, of a kind that follows from the key: doc_id, filename, content, size_bytes."""
+def files(docs: DataFrame, key: str = "doc_id", text: str = "text", kind: str | None = None) -> DataFrame:
+    """One file per row, of the kind or of one that follows from the key: doc_id, filename, content, size_bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds = [KINDS[k % len(KINDS)] for k in batch.column(0).to_pylist()]
+            kinds = [kind or KINDS[k % len(KINDS)] for k in batch.column(0).to_pylist()]
             made = [build(k, t or "") for k, t in zip(kinds, batch.column(1).to_pylist(), strict=True)]
             names = [f"file_{i}.{k}" for i, k in zip(batch.column(0).to_pylist(), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(made, pa.binary()), pa.array([len(x) for x in made], pa.int64())], ["doc_id", "filename", "content", "size_bytes"])
