@@ -15,7 +15,8 @@ from ..sources.baseline import LONGEST, with_baseline
 from ..sources.read import column
 from ..sources.samples import container, files
 from . import chunk, convert
-from .queries_text import _clean_sql, _heading_sql, read, strip
+from .queries_text import _clean_sql, _heading_sql, read, strip, word_count
+from .sinks import document_json
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +168,25 @@ _BASELINES = {
     "txt": _plain_text(_clean_sql(f"nfc_normalize({_PLAIN})")),
 }
 
+def _front(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = convert.with_frontmatter(convert.documents(files(read(spark, sf_dir, "documents"), kind="txt")), "2024-01-01T00:00:00Z")
+    return docs.select("doc_id", "frontmatter")
+
+
+def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_json(convert.documents(files(read(spark, sf_dir, "documents"), kind="md"))).select("doc_id", F.sha2("json", 256).alias("digest"))
+
+
+_LINED = f"(select doc_id, list_filter(string_split(text, chr(10)), lambda x: {strip('x')} <> '') as l from documents)"
+_FRONT = f"""select doc_id, array_to_string(['---', 'title: SAMPLE TITLE', 'source:', '  filename: file_' || doc_id || '.txt', '  format: text', '  media_type: text/plain', '  bytes: ' || octet_length(encode({_PLAIN})),
+        '  sha256: ' || sha256({_PLAIN}), 'converted_at: ''2024-01-01T00:00:00Z''', 'converted_by: sheafwork', 'word_count: ' || (2 + {word_count("array_to_string(l, ' ')")}), '---'], chr(10)) as frontmatter from {_LINED}"""
+_FILE_MD = f"('---' || chr(10) || 'title: Sample' || chr(10) || '---' || chr(10) || '# Sample' || chr(10) || chr(10) || {_PLAIN} || chr(10))"
+_JSON = f"""select doc_id, sha256('{{"title":"Sample","source":{{"filename":"file_' || doc_id || '.md","format":"markdown","media_type":"text/markdown","bytes":' || octet_length(encode({_FILE_MD})) || ',"sha256":"' || sha256({_FILE_MD})
+        || '"}},"metadata":{{"title": "Sample"}},"blocks":[{{"type":"raw","content":' || to_json({strip(f"'# Sample' || chr(10) || chr(10) || {_PLAIN}")}) || '}}],"assets":[],"warnings":[]}}') as digest from {_LINED}"""
+
 QUERIES = {
+    "frontmatter": (_front, _FRONT),
+    "document_json": (_json, _JSON),
     "page_chunks": (page_chunks, None),
     "page_markdown": (page_markdown, None),
     "format_blocks": (format_blocks, None),
