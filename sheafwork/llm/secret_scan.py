@@ -251,15 +251,17 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     options = F.array(*[F.struct(F.lit(y).alias("label"), w.alias("word"), last.alias("last"), before.alias("before")) for y, w, last, before in kinds])
     one = F.element_at(options, (draw("kind", len(kinds)) + 1).cast("int"))
     path = pick("path", "src1", "web", "app/config.py", "docs/readme.md", "lib/main.c", "tests/test_login.py", "books", "deploy/prod.yaml", "")
-    return spark.range(0, n, 1, 1).select(one.alias("x"), path.alias("path"), word.alias("after")).select("x.label", "x.word", "x.last", "x.before", "after", "path")
+    return spark.range(0, n, 1, 4).select(one.alias("x"), path.alias("path"), word.alias("after")).select("x.label", "x.word", "x.last", "x.before", "after", "path")
 
 
 def train(findings: DataFrame, words: Words | None = None, trees: int = 32, depth: int = 10) -> tuple[PipelineModel, Words]:
     """Fit the forest on labelled findings: word, before, last, after, path, label (1 is a secret). Findings without a label are left out."""
     words = words or words_of(vocabulary_path())
-    rows = featured(findings, words).select(F.col("label").cast("double").alias("label"), *[f"f_{k}" for k in FEATURES]).where("label is not null")
+    rows = featured(findings, words).select(F.col("label").cast("double").alias("label"), *[f"f_{k}" for k in FEATURES]).where("label is not null").persist()
     forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=11)
-    return Pipeline(stages=[VectorAssembler(inputCols=[f"f_{k}" for k in FEATURES], outputCol="features"), forest]).fit(rows), words
+    model = Pipeline(stages=[VectorAssembler(inputCols=[f"f_{k}" for k in FEATURES], outputCol="features"), forest]).fit(rows)
+    rows.unpersist()
+    return model, words
 
 
 def scored(found: DataFrame, model: tuple[PipelineModel, Words]) -> DataFrame:
