@@ -105,7 +105,7 @@ def _fingerprints(bits: int):
             for s in _sets(batch.column(0)):
                 held.append(s)
                 size += len(s)
-                if size > 3_000_000:
+                if size > 1_500_000:
                     yield flush(held)
                     held, size = [], 0
         if size:
@@ -158,8 +158,8 @@ def hot_shingles(docs: DataFrame, hot: int = HOT, known: int = KNOWN_HOT) -> tup
     """(bits, fingerprints, counts): the most frequent shingles that are hot, at most ``known``.
 
     A bucket holds about a quarter of what one input partition does, up to 65,536
-    input partitions. A shingle is one entry of each three million, however often it
-    stands there, and the worker of a bucket adds up entries as they come.
+    input partitions. A shingle is one entry of each one and a half million, however often
+    it stands there, and the worker of a bucket adds up entries as they come.
     """
     parts = docs.rdd.getNumPartitions()
     bits = min(18, max(5, math.ceil(math.log2(max(parts, 1))) + 2))
@@ -372,21 +372,31 @@ def _clusters(space: Workspace, rows: DataFrame, facts: DataFrame, sets: DataFra
     shared = each.groupBy("r", "t").agg(F.count("*").alias("of"), F.max("loose").alias("any"), F.max(F.struct("slack", "node")).alias("x"))
     shared = shared.where("of > 1 and any").select("r", "t", F.col("x.slack").alias("top_slack"), F.col("x.node").alias("top"))
     each = space.store(each.join(shared, ["r", "t"]))
-    nodes = each.groupBy("r", "node", "slack", "most", "loose").agg(F.count("*").alias("d"))
+    nodes = each.groupBy("r", "node", "slack", "most", "loose").agg(F.count("*").alias("d"), F.max("top_slack").alias("near"))
     reach = nodes.groupBy("r").agg(F.max(F.col("slack") + 14 * F.col("d")).alias("reach"))
-    nodes = nodes.join(reach, "r").where("not loose or (slack + 14 * d + most >= 0 and slack + reach >= 0)").select("r", "node", "d")
-    each = space.store(each.join(nodes, ["r", "node"]))
+    nodes = space.store(nodes.join(reach, "r").where("not loose or (slack + 14 * d + least(most, near) >= 0 and slack + reach >= 0)").select("r", "node", "d", "loose"))
+    # Only elements that a loose node with a chance holds say anything more.
+    told = each.where("loose").join(nodes.where("loose").select("r", "node"), ["r", "node"], "left_semi").select("r", "t").distinct()
+    each = space.store(each.join(told, ["r", "t"], "left_semi").join(nodes.drop("loose"), ["r", "node"]))
     met = each.where("loose and node <> top").groupBy("r", "node", "top", "slack", "top_slack").agg(F.count("*").alias("s")).where("14 * s + slack + top_slack >= 0")
     met = space.store(met.select(F.col("node").alias("a"), F.col("top").alias("b")).distinct())
     space.drop(members, apart)
     return near.union(met), each.select("r", "t", "node", "slack", "d", "loose")
 
 
-def _loose_links(each: DataFrame, comps: DataFrame) -> DataFrame:
-    """Links (a, b) of loose nodes with nodes of other components, by counting the elements that differences share."""
-    marked = each.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = marked.groupBy("r", "t").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("loose").alias("any")).where("any and lo < hi").select("r", "t")
-    live = marked.join(mixed, ["r", "t"], "left_semi")
+def _loose_links(space: Workspace, each: DataFrame, comps: DataFrame) -> DataFrame:
+    """Links (a, b) of loose nodes with nodes of other components, by counting the elements that differences share.
+
+    Of two nodes of different components one at least is outside the component that
+    most nodes of the cluster are in, so only elements that such nodes hold are met on.
+    """
+    nodes = each.groupBy("r", "node").agg(F.max("loose").alias("loose")).join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    nodes = space.store(nodes)
+    sizes = nodes.groupBy("r", "component").agg(F.count("*").alias("of"))
+    main = sizes.groupBy("r").agg(F.max(F.struct("of", "component"))["component"].alias("main"))
+    minor = nodes.join(main, "r").where("component <> main").select("r", "node")
+    told = each.join(minor, ["r", "node"], "left_semi").select("r", "t").distinct()
+    live = space.store(each.join(told, ["r", "t"], "left_semi").join(nodes.select("r", "node", "component"), ["r", "node"]))
     x, y = live.where("loose").alias("x"), live.alias("y")
     meets = (F.col("x.r") == F.col("y.r")) & (F.col("x.t") == F.col("y.t")) & (F.col("x.component") != F.col("y.component")) & (~F.col("y.loose") | (F.col("x.node") < F.col("y.node")))
     slack = F.col("x.slack") + F.col("y.slack")
@@ -487,7 +497,7 @@ def links(space: Workspace, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     near, loose = _clusters(space, hot_rows, facts, sets)
     comps = space.store(components(space, _verified(space, sets, first).union(near)).select("node", "component"))
     rest = _apart(cold.select("a", "b"), comps).join(first, ["a", "b"], "left_anti")
-    found = _verified(space, sets, rest).union(_loose_links(loose, comps))
+    found = _verified(space, sets, rest).union(_loose_links(space, loose, comps))
     return members, comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found)
 
 
@@ -500,7 +510,7 @@ def groups(space: Workspace, docs: DataFrame) -> DataFrame:
     lowest = top.groupBy("component").agg(F.min("low").alias("component_id"))
     of = top.join(lowest, "component").select("node", "component_id")
     linked = members.where("n > 0").join(of, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "node")
-    return linked.unionByName(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "node"))
+    return space.settle(linked.unionByName(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "node")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
