@@ -204,17 +204,40 @@ def test_mixing(spark):
     assert cube_mixing.mix(Workspace(spark, "t"), df.limit(0)).count() == 0
 
 
+def test_mixing_keeps_documents_too(spark, monkeypatch):
+    """With several blocks and a document in very many rows: words near the targets, and the numbers of documents that the rates ask for."""
+    monkeypatch.setattr(cube_mixing.sample, "__defaults__", (7, 64))
+    rows = [(i, random.choice("aaab"), " ".join(["w"] * random.randint(1, 400))) for i in range(3000)] + [(-1, "a", "x y z")] * 2000 + [(None, "b", " ".join(["w"] * 20000))]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("rows", F.lit("clash")).withColumn("own", F.lit(1))
+    out = cube_mixing.mix(Workspace(spark, "t"), df).collect()
+    assert len(out) == len(rows)
+    for source in "ab":
+        mine = [r for r in out if r["source"] == source]
+        target, size = mine[0]["target"], mine[0]["source_size"]
+        assert abs(sum(r["taken"] for r in mine) - target) <= 0.001 * target
+        # One unit more or less for each of the equal rows' units, the landing and the ones decided at once.
+        assert abs(sum(r["copies"] for r in mine) - len(mine) * target / size) <= 3
+    copies = sorted(r["copies"] for r in out if r["doc_id"] == -1)
+    assert copies[-1] - copies[0] <= 1
+    staged = cube_mixing.stage(spark, df, "")
+    assert staged.columns == df.columns and staged.where("doc_id = -1").count() == sum(copies)
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(3)
     p, size = rng.random(2000), rng.integers(1, 5000, 2000)
     out = cube_mixing.flight(p, size, rng)
     assert ((out > 0) & (out < 1)).sum() <= 2
     assert abs(out.sum() - p.sum()) < 1e-6 and abs((out * size).sum() / (p * size).sum() - 1) < 1e-9
-    mean = np.mean([cube_mixing.land(cube_mixing.flight(np.full(9, 0.3), np.arange(9), np.random.default_rng(k)), np.arange(9)) for k in range(3000)], 0)
-    assert abs(mean.mean() - 0.3) < 0.05
+    kept = cube_mixing.flight(p, size, rng, left_out=12)
+    assert (kept[-12:] == p[-12:]).all() and ((kept[:-12] > 0) & (kept[:-12] < 1)).sum() <= 2
+    landed = cube_mixing.land(kept, size)
+    assert set(landed) <= {0.0, 1.0} and abs(landed.sum() - p.sum()) <= 1 and abs((landed * size).sum() - (p * size).sum()) < 100
+    mean = np.mean([cube_mixing.land(cube_mixing.flight(np.full(30, 0.3), np.arange(30), np.random.default_rng(k), left_out=3), np.arange(30)) for k in range(2000)], 0)
+    assert abs(mean.mean() - 0.3) < 0.02 and np.abs(mean - 0.3).mean() < 0.1
 
 
-@pytest.mark.parametrize("tile", [1024, 16])
+@pytest.mark.parametrize("tile", [1 << 19, 16])
 def test_embeddings(spark, tile):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(60, 24))
@@ -243,9 +266,27 @@ def test_embeddings(spark, tile):
     assert embedding_dedup.dedup(Workspace(spark, "t"), df.limit(0)).count() == 0
 
 
+def test_embeddings_grid(spark):
+    """Deep grids, doubles as they are, and the exact result at every number of coordinates."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(400, 32))
+    data = np.concatenate([base, base + rng.normal(size=base.shape) * rng.choice([0.02, 0.1, 0.14, 0.16], size=(400, 1)), base[:50]])
+    x = data / np.linalg.norm(data, axis=1)[:, None]
+    near = x @ x.T >= 0.98
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, [float(c) for c in v], 0) for i, v in enumerate(data)], "vec_id long, embedding array<double>, label int")
+    steps = embedding_dedup.plans(data, 0.98)
+    assert steps[0] == (0.0, 100) and len(steps) > 3 and steps[-1][1] >= 400
+    for plan in (100, 102, 205, 400, 804, 808):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(embedding_dedup, "plans", lambda *_, plan=plan: [(0.0, plan)])
+            got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.dedup(Workspace(spark, "t"), df).collect()}
+        assert [got[i] for i in range(len(data))] == near.sum(1).tolist()
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a/é", "<html><head><title>T &amp; t</title><script>x<y</script></head><body><p>one<br>two</p><!-- no --></body>"), (2, None, None), (3, "http://b", ""), (None, "http://c", "plain"), (1, "http://a/é", "<p>again")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("block", F.lit(0))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("block", F.lit(0)).withColumn("record_id", F.lit("clash"))
     records = warc.derive(warc.responses(pages))
     got = records.collect()
     assert len(got) == 2 * len(rows)
@@ -255,11 +296,13 @@ def test_warc_round_trip(spark, tmp_path):
     assert first["block"] == "T & t\none\ntwo"
     meta = next(r for r in got if r["record_type"] == "metadata" and r["refers_to"] == first["refers_to"])
     assert first["refers_to"] in meta["block"] and meta["source_headers"] in meta["block"] and first["payload_digest"] in meta["block"]
+    assert first["concurrent_to"] == meta["record_id"] and meta["concurrent_to"] == first["record_id"]
     for compression in ("gzip", "none"):
         path = str(tmp_path / compression)
         warc.write(records, path, compression)
         back = warc.read(spark, path).collect()
         assert Counter((r["headers"]["warc-record-id"], bytes(r["block"]).decode()) for r in back) == Counter((r["record_id"], r["block"]) for r in got)
+        assert {(r["headers"]["warc-refers-to"], r["headers"]["warc-refers-to-payload-digest"]) for r in back} == {(r["refers_to"], r["payload_digest"]) for r in got}
     (tmp_path / "bad").mkdir()
     (tmp_path / "bad" / "x.warc").write_bytes(b"WARC/1.1\r\nContent-Length: 99\r\n\r\nshort")
     (tmp_path / "bad" / "y.warc.gz").write_bytes(b"\x1f\x8bnot gzip")
@@ -267,6 +310,57 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
 
 
+def test_warc_text(spark):
+    """References and unclosed elements against the standard library's reading of references."""
+    import html as std
+
+    whole = {
+        "caf&eacute; &#8217;x &mdash; &euro; &#x1F600; &amp;lt; &nosuch; & &#0; &#150; &hellip;": None,
+        "a<script>var x = 1;": "a", "a<!-- never closed <p>b": "a", "a<p class='x": "a", "x<style>p{}</style >y": "x y", "x &copy y": "x &copy y",
+        "<p>" + "long &amp; " * 30000 + "</p>": ("long & " * 30000).strip(), "&": "&", "&&amp;&": "&&&",
+    }
+    got = {r["html"]: r["text"] for r in spark.createDataFrame([(k,) for k in whole], "html string").select("html", warc.plain_text(F.col("html")).alias("text")).collect()}
+    for k, v in whole.items():
+        assert got[k] == (v if v is not None else std.unescape(k).replace("\xa0", " "))
+
+
+def response(url, head, body, **fields):
+    block = head.encode("latin-1") + b"\r\n\r\n" + body
+    named = {"WARC-Type": "response", "WARC-Target-URI": url, "WARC-Date": "2021-05-06T07:08:09Z", "WARC-Record-ID": f"<urn:x:{url}>", **fields, "Content-Type": "application/http; msgtype=response", "Content-Length": len(block)}
+    return b"WARC/1.0\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in named.items()) + b"\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_from_captures(spark, tmp_path):
+    """From files of captures to derived records: own identifiers, dates, headers and digests; bodies chunked, zipped and in other charsets; a damaged end."""
+    import gzip
+
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 4\r\n\r\nx: y\r\n\r\n"
+    latin = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=iso-8859-1\r\nX-Own: kept"
+    chunked = "HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip"
+    packed = gzip.compress("<p>zipped ü</p>".encode())
+    chunks = b"%x\r\n%s\r\n%x;ext=1\r\n%s\r\n0\r\n\r\n" % (5, packed[:5], len(packed) - 5, packed[5:])
+    records = [
+        info, response("http://a/", latin, "<p>caf\xe9</p>".encode("latin-1"), **{"WARC-Payload-Digest": "sha1:OWN", "WARC-Block-Digest": "sha1:BLOCK"}),
+        response("http://b/", chunked, chunks), response("http://c/", "HTTP/1.1 200 OK", b"<meta charset='windows-1251'><p>\xcf\xf0</p>"), response("http://d/", "HTTP/1.1 404 Not Found", b""),
+    ]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    (tmp_path / "in" / "b.warc.gz").write_bytes(gzip.compress(response("http://e/", "HTTP/1.1 200 OK", b"<p>whole")) + gzip.compress(response("http://f/", "HTTP/1.1 200 OK", bytes(random.choices(range(256), k=9000))))[:4000])
+    read = warc.read(spark, str(tmp_path / "in"))
+    assert Counter(r["record_type"] for r in read.where("error is null").collect()) == {"warcinfo": 1, "response": 5}
+    assert read.where("error is not null").count() == 1
+    got = warc.derive(warc.captured(read)).collect()
+    texts = {r["target_uri"]: r for r in got if r["record_type"] == "conversion"}
+    assert {k: r["block"] for k, r in texts.items()} == {"http://a/": "café", "http://b/": "zipped ü", "http://c/": "Пр", "http://d/": "", "http://e/": "whole"}
+    a = texts["http://a/"]
+    assert (a["refers_to"], a["date"], a["payload_digest"]) == ("<urn:x:http://a/>", "2021-05-06T07:08:09Z", "sha1:OWN") and "X-Own: kept" in a["source_headers"]
+    meta = next(r for r in got if r["record_type"] == "metadata" and r["target_uri"] == "http://a/")
+    assert "X-Own: kept" in meta["block"] and "sha1:BLOCK" in meta["block"]
+    warc.write(warc.derive(warc.captured(read)), str(tmp_path / "out"))
+    back = {r["headers"]["warc-record-id"]: bytes(r["block"]).decode() for r in warc.read(spark, str(tmp_path / "out")).collect()}
+    assert back == {r["record_id"]: r["block"] for r in got}
+
+
 def test_warc_sql(spark):
     c = duckdb.connect()
     c.execute("create view pages as select * from read_parquet('/root/testdata/sf0.001/pages.parquet')")
@@ -287,3 +381,45 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd, sf).columns == odd.columns
         assert stage(spark, odd.limit(0), sf).count() == 0
+
+
+def test_pipeline_stages_against_plain_versions(spark):
+    """Each stage on what its predecessor kept, against a plain version of its decision; the last one by what its pieces say of the texts."""
+    import corpus_pipeline
+    from sheafwork.llm import quality_crf
+    from sheafwork.llm.common import table
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    space = Workspace(spark, "t")
+    stages = dict(corpus_pipeline.STAGES)
+    docs = [table(spark, sf, "documents")]
+    for name in list(stages)[:-1]:
+        docs.append(space.store(stages[name](spark, docs[-1], sf)))
+    rows = [sorted(map(tuple, d.select("doc_id", "text", "source").collect()), key=str) for d in docs]
+    scores = {r["doc_id"]: r["score"] for r in quality_crf.query(spark, sf).collect()}
+    assert rows[1] == [r for r in rows[0] if scores[r[0]] >= quality_crf.THRESHOLD] and 0 < len(rows[1]) < len(rows[0])
+    gone = line_removals([(i, t) for i, t, _ in rows[1]], line_dedup.THRESHOLD, line_dedup.MIN_LENGTH)
+    cut = {i: t if i not in gone else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t, _ in rows[1]}
+    assert {i: t for i, t, _ in rows[2]} == {i: t for i, t in cut.items() if i not in gone or WORD.search(t)} and gone
+    parts = jaccard_components([(i, t) for i, t, _ in rows[2]])
+    assert [r[0] for r in rows[3]] == [r[0] for r in rows[2] if parts[r[0]][1] == r[0]]
+    sizes, taken, largest = Counter(), Counter(), Counter()
+    for _, t, s in rows[3]:
+        sizes[s] += len(WORD.findall(t))
+        largest[s] = max(largest[s], len(WORD.findall(t)))
+    for _, t, s in rows[4]:
+        taken[s] += len(WORD.findall(t))
+    order = sorted(s for s in sizes if s is not None) + ([None] if None in sizes else [])
+    want = dict(zip(order, shares([sizes[s] for s in order]), strict=True))
+    assert all(abs(taken[s] - want[s]) <= max(largest[s] / 2, 0.01 * want[s]) for s in order)  # sources of a few documents
+    assert max(Counter(r[0] for r in rows[4]).values()) <= 3
+    import public_tokenizers
+
+    encoder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tokens = Counter({i: len(encoder.encode(t or "", add_special_tokens=False).ids) + 1 for i, t, _ in rows[4]})
+    pieces = list(stages["packing"](spark, docs[-1], sf).collect())
+    packed = Counter()
+    for r in pieces:
+        packed[r["doc_id"]] += r["length"]
+    assert packed == Counter({i: n * k for i, k in Counter(r[0] for r in rows[4]).items() for n in [tokens[i]]})
