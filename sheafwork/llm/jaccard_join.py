@@ -40,14 +40,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, Workspace, bounded_batches, components, table
+from .common import WORD, Workspace, bounded_batches, components, shuffles_released, table
 from .textbytes import Words, blocks, mix
 
 SHINGLE = 5
 #: A shingle in more documents than this is hot.
 HOT = 48
-#: Hot shingles that the order knows, the most frequent ones: at most 4 MB for each worker. Others are ordered as cold ones and found hot when their postings are read.
-KNOWN_HOT = 1 << 18
+#: Hot shingles that the order knows, the most frequent ones: at most 25 MB for each worker. Others are ordered as cold ones and found hot when their postings are read.
+KNOWN_HOT = 1 << 21
 #: A known shingle in more documents than this needs no reading of its postings in one place to be found hot.
 SURELY_HOT = 512
 #: Lengths by which prefixes may grow.
@@ -154,8 +154,11 @@ def _frequent(hot: int):
     return run
 
 
-def hot_shingles(docs: DataFrame, hot: int = HOT, known: int = KNOWN_HOT) -> tuple[int, np.ndarray, np.ndarray]:
-    """(bits, fingerprints, counts): the most frequent shingles that are hot, at most ``known``.
+def hot_shingles(space: Workspace, docs: DataFrame, hot: int = HOT, known: int = KNOWN_HOT) -> tuple[int, np.ndarray, np.ndarray]:
+    """(bits, fingerprints, counts): the most frequent shingles that are hot, about ``known`` at most.
+
+    The driver gets how many have each count, and then only those that are taken;
+    of the last count a share by hash.
 
     A bucket holds about a quarter of what one input partition does, up to 65,536
     input partitions. A shingle is one entry of each one and a half million, however often
@@ -164,9 +167,18 @@ def hot_shingles(docs: DataFrame, hot: int = HOT, known: int = KNOWN_HOT) -> tup
     parts = docs.rdd.getNumPartitions()
     bits = min(18, max(5, math.ceil(math.log2(max(parts, 1))) + 2))
     coded = docs.select("text").mapInArrow(_fingerprints(bits), "bucket int, gaps binary, more binary")
-    counted = coded.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_frequent(hot), "token long, n long")
-    top = counted.orderBy(F.desc("n"), "token").limit(known).toArrow().sort_by("token")
-    return bits, top["token"].to_numpy().astype(np.uint64), top["n"].to_numpy().astype(np.int64)
+    counted = space.store(coded.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_frequent(hot), "token long, n long"))
+    sizes = counted.groupBy("n").agg(F.count("*").alias("of")).toArrow().sort_by([("n", "descending")])
+    least, share, room = 0, 1.0, known
+    for n, of in zip(sizes["n"].to_pylist(), sizes["of"].to_pylist(), strict=True):
+        if of > room:
+            least, share = n, room / of
+            break
+        room -= of
+    part = F.pmod(F.xxhash64("token"), F.lit(1 << 20)) < int(share * (1 << 20))
+    top = counted.where((F.col("n") > least) | ((F.col("n") == least) & part)).toArrow().sort_by("token")
+    space.drop(counted)
+    return bits, top["token"].to_numpy().astype(np.uint64), top["n"].to_numpy().astype(np.uint32)
 
 
 # -- prefixes ----------------------------------------------------------------
@@ -330,12 +342,21 @@ def _scan(limit: int):
 # -- hot postings ------------------------------------------------------------
 
 
-def _clusters(space: Workspace, rows: DataFrame, facts: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) by the nodes' differences from the centre of their cluster, and what is left to be compared.
+def _members(space: Workspace, rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """(r, node): the clusters. rows: (token, node), all hot postings.
 
-    rows: (token, node), all hot postings. The nodes of a posting, in overlapping
-    bands of set sizes, are a cluster under its node with most hot postings, so
-    nodes that are similar and share a hot posting are in one cluster.
+    The nodes of a posting, in overlapping bands of set sizes, are a cluster under its
+    node with most hot postings, so nodes that are similar and share a hot posting are
+    in one cluster.
+    """
+    banded = rows.join(facts.select("node", "n", "hidden"), "node").withColumn("band", F.floor(F.log("n") / math.log(1.34)))
+    banded = banded.select("token", "node", "hidden", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    heads = banded.groupBy("token", "band").agg(F.min(F.struct((-F.col("hidden")).alias("k"), F.xxhash64("node"), F.col("node").alias("r")))["r"].alias("r"), F.count("*").alias("of"))
+    return space.store(banded.join(heads.where("of > 1").drop("of"), ["token", "band"]).select("r", "node").distinct())
+
+
+def _clusters(space: Workspace, members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) by the nodes' differences from the centre of their cluster, and what is left to be compared.
 
     Two sets of n and m are similar if their symmetric difference is at most
     (n + m) / 7. With the differences D and E of the two from the same centre it is
@@ -353,10 +374,6 @@ def _clusters(space: Workspace, rows: DataFrame, facts: DataFrame, sets: DataFra
     difference, the node and the number of its elements that others hold, for all
     nodes that may still be linked with a loose one.
     """
-    banded = rows.join(facts.select("node", "n", "hidden"), "node").withColumn("band", F.floor(F.log("n") / math.log(1.34)))
-    banded = banded.select("token", "node", "hidden", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
-    heads = banded.groupBy("token", "band").agg(F.min(F.struct((-F.col("hidden")).alias("k"), F.xxhash64("node"), F.col("node").alias("r")))["r"].alias("r"), F.count("*").alias("of"))
-    members = space.store(banded.join(heads.where("of > 1").drop("of"), ["token", "band"]).select("r", "node").distinct())
     whole = members.join(sets, "node")
     held = whole.select("r", F.explode("tokens").alias("t")).groupBy("r", "t").agg(F.count("*").alias("held"))
     half = members.groupBy("r").agg((F.count("*") / 2).alias("half"))
@@ -469,10 +486,11 @@ def links(space: Workspace, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = space.spark
     bounded_batches(spark)
     docs = docs.select("doc_id", "text")
-    bits, hot, often = hot_shingles(docs)
+    bits, hot, often = hot_shingles(space, docs)
     known = spark.sparkContext.broadcast((hot, often))
     rows = space.store(docs.mapInArrow(_prefixes(bits, known), _PREFIXES))
-    members = rows.select("doc_id", "n", "node")
+    known.unpersist()
+    members = space.store(rows.select("doc_id", "n", "node"))
     space.repeated = not members.where("n > 0").groupBy("doc_id").count().where("count > 1").isEmpty()
     nodes = space.store(members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc")))
     own = nodes.select(F.col("node").alias("own"), "doc")
@@ -488,13 +506,15 @@ def links(space: Workspace, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     x, y = facts.alias("x"), facts.alias("y")
     cold = cold.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_possible("x", "y", F.col("shared")))
     cold = space.store(cold.select("a", "b", "shared"))
-    used = cold.select(F.col("a").alias("node")).union(cold.select("b")).union(facts.where("hidden > 0").select("node")).distinct()
+    clusters = _members(space, hot_rows, facts)
+    space.drop(rows, scanned, facts)
+    used = cold.select(F.col("a").alias("node")).union(cold.select("b")).union(clusters.select("node")).distinct()
     sets = _whole_sets(space, docs, nodes, used)
     # First each node with the partner it shares most with, and the clusters; then whatever is still apart.
     both = cold.unionByName(cold.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
     best = both.groupBy("a").agg(F.max(F.struct("shared", F.col("b").alias("p")))["p"].alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     first = space.store(best.distinct())
-    near, loose = _clusters(space, hot_rows, facts, sets)
+    near, loose = _clusters(space, clusters, sets)
     comps = space.store(components(space, _verified(space, sets, first).union(near)).select("node", "component"))
     rest = _apart(cold.select("a", "b"), comps).join(first, ["a", "b"], "left_anti")
     found = _verified(space, sets, rest).union(_loose_links(space, loose, comps))
@@ -503,14 +523,15 @@ def links(space: Workspace, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def groups(space: Workspace, docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, node) of every row; rows of one node have the same set."""
-    members, found = links(space, docs)
-    nodes = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
-    comps = components(space, found)
-    top = nodes.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lowest = top.groupBy("component").agg(F.min("low").alias("component_id"))
-    of = top.join(lowest, "component").select("node", "component_id")
-    linked = members.where("n > 0").join(of, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "node")
-    return space.settle(linked.unionByName(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "node")))
+    with shuffles_released(space.spark):
+        members, found = links(space, docs)
+        nodes = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
+        comps = components(space, found)
+        top = nodes.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        lowest = top.groupBy("component").agg(F.min("low").alias("component_id"))
+        of = top.join(lowest, "component").select("node", "component_id")
+        linked = members.where("n > 0").join(of, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "node")
+        return space.settle(linked.unionByName(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "node")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

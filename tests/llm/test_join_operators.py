@@ -1,7 +1,9 @@
 """Line dedup, n-gram Jaccard join, cube mixing, embedding join, WARC records, the pipeline's stages."""
 
 import random
+import time
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -112,6 +114,57 @@ def test_jaccard_around_one_passage(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+def test_jaccard_keeps_little_on_disk(spark, near, monkeypatch):
+    """No step's shuffle files outlast it, and no prefixes or postings stay beside the whole sets."""
+    live, columns = [], set()
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        every = blocks.getAllBlocks()
+        return {every.apply(k).toString().split("_")[1] for k in range(every.size()) if every.apply(k).isShuffle()}
+
+    def store(self, df, codec="zstd", f=Workspace.store):
+        out = f(self, df, codec)
+        for _ in range(50):  # files are removed in the background
+            if len(new := shuffles() - before) <= 4:
+                break
+            time.sleep(0.1)
+        live.append(len(new))
+        return out
+
+    def whole_sets(space, *args, f=jaccard_join._whole_sets):
+        columns.update(c for path in Path(space.root).iterdir() for c in spark.read.parquet(str(path)).columns)
+        return f(space, *args)
+
+    before = shuffles()
+    monkeypatch.setattr(Workspace, "store", store)
+    monkeypatch.setattr(jaccard_join, "_whole_sets", whole_sets)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key)
+    jaccard_join.groups(Workspace(spark, "t"), frame(spark, near))
+    assert max(live) <= 4  # small ones of the test for repeated ids
+    assert "doc" in columns and not columns & {"prefix", "token", "hidden"}
+    assert spark.conf.get(key) == was
+
+
+@pytest.mark.parametrize("known", [0, 7, 1000, jaccard_join.KNOWN_HOT])
+def test_jaccard_known_hot_shingles(spark, near, known, monkeypatch):
+    """The most frequent shingles are known, about as many as asked for; the others change no result."""
+    docs = frame(spark, near)
+    bits, tokens, counts = jaccard_join.hot_shingles(Workspace(spark, "t"), docs, 4, known)
+    sets = [s for (text,) in docs.select("text").toArrow().to_batches() for s in jaccard_join._sets(text)]
+    every, n = np.unique(np.concatenate(sets) >> np.uint64(32 - bits), return_counts=True)
+    want = dict(zip(every[n > 4].tolist(), n[n > 4].tolist(), strict=True))
+    got = dict(zip(tokens.tolist(), counts.tolist(), strict=True))
+    assert got.items() <= want.items() and len(got) <= 1.5 * known
+    assert got == want or max((c for k, c in want.items() if k not in got), default=0) <= min(got.values(), default=10**9)
+    assert known < len(want) or got == want
+    monkeypatch.setattr(jaccard_join, "HOT", 4)
+    monkeypatch.setattr(jaccard_join.hot_shingles, "__defaults__", (4, known))
+    rows = jaccard_join.groups(Workspace(spark, "t"), docs).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == jaccard_components(near)
+
+
 def test_components(spark):
     edges = [(random.randrange(400), random.randrange(400)) for _ in range(300)] + [(1000, k) for k in range(500, 700)] + [(k, k + 1) for k in range(2000, 2100)] + [(5, 5), (None, 3)]
     sets = Sets({n for e in edges for n in e if n is not None})
