@@ -11,7 +11,7 @@ from ..operators import measure as M
 from ..operators import text_blocks as B
 from ..options import ConvertOptions
 from . import chunk as C
-from .queries_tables import _blocks_sql, _shaped
+from .queries_tables import _blocks_sql, _found
 from .queries_text import BLANK, _heading_sql, read, strip, word_count
 
 # -- a relation of page lines: four lines of a document make a page, most pages get a running header and a page number --
@@ -216,8 +216,8 @@ _OVERLAP = f"""select doc_id, pos, case when pos % 3 <> 0 and b % 3 <> 0 then ca
 
 
 def _documents(spark, d):
-    docs = read(spark, d, "documents")
-    return docs.select("doc_id", F.col("source").alias("title"), F.lit(False).alias("passthrough"), B.as_blocks(B.text_blocks(_shaped())).alias("blocks"), F.concat("source", F.lit("-"), "lang", F.lit(".txt")).alias("filename"), F.sha2("text", 256).alias("sha256"), F.lit("text").alias("format"))
+    docs = _found(spark, d, F.col("source").alias("title"), F.concat("source", F.lit("-"), "lang", F.lit(".txt")).alias("filename"), F.sha2("text", 256).alias("sha256"))
+    return docs.select("doc_id", "title", F.lit(False).alias("passthrough"), B.as_blocks(F.col("found")).alias("blocks"), "filename", "sha256", F.lit("text").alias("format"))
 
 
 def _chunks(spark, d):

@@ -31,6 +31,6 @@ def agrees(spark, folder, name, **tables):
     assert got and got == want
 
 
-@pytest.mark.parametrize("name", ["lift_title", "md_document"])
+@pytest.mark.parametrize("name", ["lift_title", "md_document", "measure_headline", "block_histogram"])
 def test_documents_without_a_block(spark, tmp_path, name):
     agrees(spark, tmp_path, name, documents=documents(BLANK))
