@@ -34,3 +34,8 @@ def agrees(spark, folder, name, **tables):
 @pytest.mark.parametrize("name", ["lift_title", "md_document", "measure_headline", "block_histogram"])
 def test_documents_without_a_block(spark, tmp_path, name):
     agrees(spark, tmp_path, name, documents=documents(BLANK))
+
+
+def test_delimited_files_of_long_lines_and_of_other_marks(spark, tmp_path):
+    texts = ["y" * 140_000, "a\n" + "word " * 30_000, '  \n|"a; \n";":word\',\' \t| |word"', "x | y; z\n" * 30, '"|"|" \t a', "plain\nlines"]
+    agrees(spark, tmp_path, "parse_csv", documents=documents(texts))
