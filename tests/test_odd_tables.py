@@ -39,3 +39,8 @@ def test_documents_without_a_block(spark, tmp_path, name):
 def test_delimited_files_of_long_lines_and_of_other_marks(spark, tmp_path):
     texts = ["y" * 140_000, "a\n" + "word " * 30_000, '  \n|"a; \n";":word\',\' \t| |word"', "x | y; z\n" * 30, '"|"|" \t a', "plain\nlines"]
     agrees(spark, tmp_path, "parse_csv", documents=documents(texts))
+
+
+def test_sizes_halfway_between_two_tenths(spark, tmp_path):
+    # the query multiplies by 997 and by the squares of 1 to 4; 64 makes quarters of a KB
+    agrees(spark, tmp_path, "human_bytes", documents=documents([""] * 2000, [64 * (k + 1) for k in range(1000)] + [65_536 * (k + 1) for k in range(500)] + [2**26 * (k + 1) for k in range(500)]))
