@@ -26,11 +26,17 @@ def parse_lines(text: DataFrame, key: str = "doc_id", column: str = "text") -> D
 
 
 def key_overlap(records: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, n, overlap, is_table): how alike the key sets of a document's records are. records: key, row, keys (array)."""
-    first = records.groupBy(key).agg(F.min_by("keys", "row").alias("first"))
+    """(key, n, overlap, is_table): how alike the key sets of a document's records are. records: key, row, keys (array).
+
+    Shares are added in the order of ``row``, so the mean is the same double whatever
+    the partitions; one sort by key and row, and nothing of a document but its sum is kept.
+    """
+    w = Window.partitionBy(key).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    rows = records.select(key, "row", "keys", F.first("keys").over(w).alias("first"))
     share = F.size(F.array_intersect("first", "keys")) / F.greatest(F.lit(1), F.size(F.array_union("first", "keys")))
-    per = records.join(first, key).groupBy(key).agg(F.count("*").alias("n"), F.avg(share).alias("overlap"), F.max(F.size("first")).alias("width"))
-    return per.select(key, "n", "overlap", ((F.col("n") >= 2) & (F.col("width") > 0) & (F.col("overlap") > OVERLAP)).alias("is_table"))
+    rows = rows.select(key, "row", F.size("first").alias("width"), share.alias("share")).withColumns({"n": F.count("*").over(w), "total": F.sum("share").over(w)})
+    last = rows.groupBy(key).agg(F.max(F.struct("n", "total", "width")).alias("last")).select(key, "last.*")
+    return last.select(key, "n", (F.col("total") / F.col("n")).alias("overlap"), "width").select(key, "n", "overlap", ((F.col("n") >= 2) & (F.col("width") > 0) & (F.col("overlap") > OVERLAP)).alias("is_table"))
 
 
 def columns(records: DataFrame, key: str = "doc_id") -> DataFrame:

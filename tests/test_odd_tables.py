@@ -44,3 +44,16 @@ def test_delimited_files_of_long_lines_and_of_other_marks(spark, tmp_path):
 def test_sizes_halfway_between_two_tenths(spark, tmp_path):
     # the query multiplies by 997 and by the squares of 1 to 4; 64 makes quarters of a KB
     agrees(spark, tmp_path, "human_bytes", documents=documents([""] * 2000, [64 * (k + 1) for k in range(1000)] + [65_536 * (k + 1) for k in range(500)] + [2**26 * (k + 1) for k in range(500)]))
+
+
+def test_mean_overlap_halfway_between_two_roundings(spark, tmp_path):
+    """Whichever way the rows are spread over files, a mean is that of its rows in order."""
+    n = 64 * 1000
+    rows = pa.table({"event_id": pa.array(range(n), pa.int64()), "user_id": pa.array([i * 7 % 1009 for i in range(n)], pa.int64())})
+    agrees(spark, tmp_path, "json_table_like", events=rows)
+    run = QUERIES["json_table_like"][0]
+    spread = tmp_path / "spread" / "events.parquet"
+    spread.mkdir(parents=True)
+    for k in range(4):
+        pq.write_table(rows.take(pa.array(range(k, n, 4))), spread / f"{k}.parquet")
+    assert sorted(run(spark, str(spread.parent)).collect()) == sorted(run(spark, str(tmp_path)).collect())
