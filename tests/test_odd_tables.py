@@ -1,10 +1,14 @@
 """Registered queries against their SQL on tables with what the made tables lack."""
 
+import time
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
+from sheafwork.functions import tables as TB
 from sheafwork.plans.registry import QUERIES
 
 BLANK = ["", " \n\t\n", "\n\n", "a line\nHEADING", "TITLE", "- one\n- two", None]
@@ -57,3 +61,12 @@ def test_mean_overlap_halfway_between_two_roundings(spark, tmp_path):
     for k in range(4):
         pq.write_table(rows.take(pa.array(range(k, n, 4))), spread / f"{k}.parquet")
     assert sorted(run(spark, str(spread.parent)).collect()) == sorted(run(spark, str(tmp_path)).collect())
+
+
+def test_long_tables_in_time_that_grows_as_they_do(spark):
+    """Each row once asked for the width of all rows: 60,000 rows took minutes."""
+    rows = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda i: F.array(i.cast("string"), F.lit("x"))).alias("rows"))
+    header = F.array(F.lit("a"), F.lit("b"), F.lit("c"))
+    begun = time.monotonic()
+    made = rows.select(F.size(TB.normalized(F.col("rows"), TB.width(F.col("rows")))), F.length(TB.html_table(header, F.col("rows"))), F.length(TB.csv_table(header, F.col("rows")))).first()
+    assert made[0] == 60_000 and time.monotonic() - begun < 30
